@@ -1,6 +1,7 @@
 """Column expressions for procedural classes: any spelling becomes an array of acronyms."""
 from pyspark.sql import Column, functions as F
 
+from citegrove.functions.literals import array_literal, map_literal
 from citegrove.functions.text import strip_accents
 from citegrove.rules import CLASS_SPELLINGS, CLASS_VOCABULARY, IGNORABLE_ORDINALS, IGNORABLE_WORDS, WORD_SWAPS
 
@@ -27,12 +28,7 @@ def _lookalikes(vocabulary: list[str]) -> dict[str, list[str]]:
 
 
 def class_map() -> Column:
-    args, seen = [], set()
-    for spelling, acronyms in _SPELLINGS:
-        if spelling not in seen:
-            seen.add(spelling)
-            args += [F.lit(spelling), F.array(*[F.lit(a) for a in acronyms])]
-    return F.create_map(*args)
+    return map_literal({s: acr for s, acr in reversed(_SPELLINGS)})
 
 
 def prepare_class_text(col: Column) -> Column:
@@ -60,9 +56,9 @@ def swaps_between(seen: Column, meant: Column) -> Column:
 def repair_word(w: Column, vocabulary: list[str] | None = None) -> Column:
     """A word outside the vocabulary read back with at most two OCR swaps undone; itself when none fits.
     Words are bucketed by a look-alike key, so no variants are generated."""
-    vocabulary = vocabulary or CLASS_VOCABULARY
-    table = F.create_map(*[x for key, words in _lookalikes(vocabulary).items()
-                           for x in (F.lit(key), F.array(*[F.lit(v) for v in words]))])
+    vocabulary = CLASS_VOCABULARY if vocabulary is None else vocabulary
+    table = map_literal(_lookalikes(vocabulary))
+    known = F.array_contains(array_literal(vocabulary), w)
     n_letters = F.length(F.regexp_replace(w, r"[^\p{L}]", ""))
     n_digits = F.length(F.regexp_replace(w, "[^0-9]", ""))
     options = F.filter(
@@ -70,7 +66,7 @@ def repair_word(w: Column, vocabulary: list[str] | None = None) -> Column:
                     lambda v: F.struct(swaps_between(w, v).alias("n"), v.alias("v"))),
         lambda o: o["n"].between(1, 2))
     best = F.array_min(options)["v"]
-    return (F.when(w.isin(vocabulary), w)
+    return (F.when(known, w)
             .when((n_letters >= 2) & (n_digits <= n_letters - 1), F.coalesce(best, w))
             .otherwise(w))
 
@@ -108,4 +104,4 @@ def base_class(arr: Column) -> Column:
 
 def known_word(col: Column) -> Column:
     return F.forall(F.split(prepare_class_text(col), " "),
-                    lambda p: (p == "") | repair_word(p).isin(CLASS_VOCABULARY))
+                    lambda p: (p == "") | F.array_contains(array_literal(CLASS_VOCABULARY), repair_word(p)))

@@ -1,6 +1,7 @@
 """Column expressions for courts, states and rapporteurs."""
 from pyspark.sql import Column, functions as F
 
+from citegrove.functions.literals import map_literal
 from citegrove.functions.text import strip_accents
 from citegrove.rules import STATES
 
@@ -15,8 +16,7 @@ def court_code(col: Column) -> Column:
 
 
 def state_code(col: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for kv in STATES.items() for x in kv])
-    return F.try_element_at(table, F.trim(F.upper(strip_accents(col))))
+    return F.try_element_at(map_literal(STATES), F.trim(F.upper(strip_accents(col))))
 
 
 def normalise_rapporteur(col: Column) -> Column:

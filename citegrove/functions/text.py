@@ -3,6 +3,8 @@ import unicodedata
 
 from pyspark.sql import Column, functions as F
 
+from citegrove.functions.literals import map_literal
+
 
 def _fold_table() -> tuple[str, str, list[tuple[str, str]]]:
     """Single characters and their accent-free compatibility form, derived from the Unicode database:
@@ -31,7 +33,7 @@ _LONGER_CHARS = "[" + "".join(c for c, _ in FOLD_LONGER) + "]"
 def strip_accents(col: Column) -> Column:
     """Accents and compatibility forms off ('º' -> 'o'); one-to-one folds keep the length of the text."""
     plain = F.translate(col, FOLD_FROM, FOLD_TO)
-    expand = F.create_map(*[F.lit(x) for pair in FOLD_LONGER for x in pair])
+    expand = map_literal(dict(FOLD_LONGER))
     longer = F.array_join(F.transform(F.split(F.regexp_replace(plain, "\\p{M}+", ""), ""),
                                       lambda c: F.coalesce(F.try_element_at(expand, c), c)), "")
     return F.when(col.rlike("\\p{M}|" + _LONGER_CHARS), longer).otherwise(plain)

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from citegrove.functions.cached import per_session
 from citegrove.functions.classes import canonical_class, known_acronyms
 from citegrove.functions.courts import court_code
 from citegrove.functions.dockets import canonical_docket, is_cnj, repair_digits
@@ -49,30 +50,48 @@ def _group(text: Column, pattern: str, i: int) -> Column:
     return F.when(g != "", g)
 
 
-def matches(docs: DataFrame, detectors: list[Detector], text: str) -> DataFrame:
-    """One row per match of any detector, with the detector's place in the list and the windows it asked for."""
+@per_session
+def _found(detectors: tuple[Detector, ...], text: str) -> Column:
+    """Matches of the detectors in a text column, with the place in the list and the windows each asked for."""
     def found(i: int, d: Detector) -> Column:
         return F.transform(match_spans(F.col(text), d.pattern), lambda m: F.struct(
             F.lit(i).alias("d"), m["start"].alias("start"), m["end"].alias("end"), m["match"].alias("match"),
             (left_of(F.col(text), m["start"], d.left) if d.left else F.lit("")).alias("left"),
             (F.substring(F.col(text), m["end"] + 1, F.lit(d.right)) if d.right else F.lit("")).alias("right")))
     none = F.array().cast("array<struct<d:int,start:int,end:int,match:string,left:string,right:string>>")
-    every = F.concat(*[F.coalesce(found(i, d), none) for i, d in enumerate(detectors)])
-    keep = [c for c in docs.columns if c != text]
-    return docs.select(*keep, F.explode(every).alias("m"))
+    return F.concat(*[F.coalesce(found(i, d), none) for i, d in enumerate(detectors)])
+
+
+@per_session
+def _read(detectors: tuple[Detector, ...], match: str) -> Column:
+    """Spans of one match, by the detector that found it."""
+    read = None
+    for i, d in enumerate(detectors):
+        here = F.col(f"{match}.d") == i
+        read = F.when(here, d.spans(F.col(match))) if read is None else read.when(here, d.spans(F.col(match)))
+    return read
+
+
+def read_spans(detectors: list[Detector], text: str) -> Column:
+    """Spans of a short text as one array (for columns that are too short to be worth exploding)."""
+    read = F.transform(_found(tuple(detectors), text), lambda m: _read_lambda(tuple(detectors), m))
+    return F.flatten(F.filter(read, lambda s: s.isNotNull()))
+
+
+def _read_lambda(detectors: tuple[Detector, ...], m: Column) -> Column:
+    read = None
+    for i, d in enumerate(detectors):
+        read = F.when(m["d"] == i, d.spans(m)) if read is None else read.when(m["d"] == i, d.spans(m))
+    return read
 
 
 def run_detectors(docs: DataFrame, detectors: list[Detector], text: str = "text") -> DataFrame:
     """Spans of the detectors, overlaps included.  Bad input yields NULLs, never an exception, so one detector cannot
     take the others down."""
     keep = [c for c in docs.columns if c != text]
-    rows = matches(docs, detectors, text)
-    read = F.when(F.lit(False), F.lit(None))
-    order = F.when(F.lit(False), F.lit(None))
-    for i, d in enumerate(detectors):
-        read = read.when(F.col("m.d") == i, d.spans(F.col("m")))
-        order = order.when(F.col("m.d") == i, F.lit(d.order))
-    return (rows.select(*keep, order.alias("detector"), F.explode(read).alias("s"))
+    rows = docs.select(*keep, F.explode(_found(tuple(detectors), text)).alias("_m"))
+    order = F.expr("array(" + ", ".join(str(d.order) for d in detectors) + ")")
+    return (rows.select(*keep, order[F.col("_m.d")].alias("detector"), F.explode(_read(tuple(detectors), "_m")).alias("s"))
             .select(*keep, "detector", "s.*"))
 
 

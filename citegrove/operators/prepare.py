@@ -3,6 +3,7 @@ import unicodedata
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from citegrove.functions.literals import map_literal
 from citegrove.rules import DOUBLE_QUOTE_CHARS, HYPHEN_CHARS, INVISIBLE_CHARS, SINGLE_QUOTE_CHARS
 
 _CONTROLS = "".join(chr(c) for c in [*range(0, 9), 11, 12, *range(14, 32), 127])
@@ -26,7 +27,7 @@ def _composed() -> list[tuple[str, str]]:
 
 
 def _compose(cluster: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for pair in _composed() for x in pair])
+    table = map_literal(dict(_composed()))
     return F.when(F.length(cluster) > 1, F.coalesce(F.try_element_at(table, cluster), cluster)).otherwise(cluster)
 
 

@@ -357,7 +357,8 @@ def registry_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the generator keeps the optimiser from copying the rendering into every filter on the text
     rendered = run_sql(spark, sf_dir, filings_sql(spark=True), "orders")
-    return rendered.select("doc_id", "level", F.explode(F.array("text")).alias("text"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return rendered.select("doc_id", "level", F.explode(F.array("text")).alias("text")).repartition(tasks, "doc_id")
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
