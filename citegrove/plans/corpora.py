@@ -309,13 +309,13 @@ def cited_sql(spark: bool = False) -> str:
             "WHEN 'incomplete' THEN 'incompleta' WHEN 'theme' THEN 'tema' ELSE 'acordao' END")
     return filing_steps(spark) + f""",
 placed AS (SELECT *, sum(length(sentence) + length(gap)) OVER (PARTITION BY doc_id ORDER BY i) - length(sentence)
-  - length(gap) + length(pre) AS at FROM sentences),
-cited AS (SELECT doc_id, level, i * 2 AS slot, {kind} AS kind, at AS span_start,
-    at + coalesce(length(head), length(cite)) AS span_end, CASE WHEN form IN ('docket', 'chain') THEN t END AS t,
+  - length(gap) + length(pre) AS opens FROM sentences),
+cited AS (SELECT doc_id, level, i * 2 AS slot, {kind} AS kind, opens AS span_start,
+    opens + coalesce(length(head), length(cite)) AS span_end, CASE WHEN form IN ('docket', 'chain') THEN t END AS t,
     CASE WHEN form = 'norm' THEN j END AS j, acr, CASE WHEN t % 5 <> 2 THEN uf END AS uf FROM placed
     WHERE form <> 'distractor'
   UNION ALL
-  SELECT doc_id, level, i * 2 + 1, 'acordao', at + length(head) + 3, at + length(cite), u, NULL, acr, uf_u FROM placed
+  SELECT doc_id, level, i * 2 + 1, 'acordao', opens + length(head) + 3, opens + length(cite), u, NULL, acr, uf_u FROM placed
     WHERE head IS NOT NULL)"""
 
 
