@@ -5,8 +5,9 @@ The test tables hold no legal text, so a registry (from `orders` and `part`) and
 Spark runs it to build the input tables, the checks run it to know the truth (offsets, labels, ids) by
 construction.  Every filing is rendered within its row, so nothing is grouped or shuffled to build the texts.
 """
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
+from citegrove.plans.tables import once
 from citegrove.rules import STATES, UFS
 
 SLOTS = 4          # citations per filing, at most
@@ -277,11 +278,11 @@ def filing_steps(spark: bool = False) -> str:
     q = "(k + 3 * i) % 10"
     return f"""
 f0 AS (SELECT o_orderkey AS k, 1 + o_orderkey % 2 AS level, 1 + o_orderkey % {SLOTS} AS n_sent FROM {{orders}}),
-f1 AS (SELECT *, {exploded(spark, 'n_sent')} AS i FROM f0),
+fs AS (SELECT *, {exploded(spark, 'n_sent')} AS i FROM f0),
 f2 AS (SELECT *, CASE WHEN {q} < 5 THEN 'docket' WHEN {q} = 5 THEN 'chain' WHEN {q} < 8 THEN 'norm'
     WHEN {q} = 8 THEN 'incomplete' WHEN k % 4 < 2 THEN 'theme' ELSE 'distractor' END AS form,
   CASE WHEN i = 0 AND k % 3 = 0 THEN 15 ELSE k - k % 1000 + (k * 31 + i * 97 + 11) % 1000 END AS t,
-  (k * 13 + i * 7) % 1000 AS j, (k + {idiv('k', 10)} + i) % 5 AS v FROM f1),
+  (k * 13 + i * 7) % 1000 AS j, (k + {idiv('k', 10)} + i) % 5 AS v FROM fs),
 f3 AS (SELECT *, t AS tc, t AS tu, CASE WHEN (t + 5) % 11 = 0 THEN t + 10 ELSE t + 5 END AS u,
   {norm_number('j')} AS n, {norm_court('j')} AS norm_court FROM f2),{decision_steps('f3', 'f4')},
 f5 AS (SELECT *, CASE WHEN {two} AND v % 2 = 1 THEN noisy_name ELSE short_name END AS name, {num} AS num,
@@ -350,19 +351,21 @@ def run_sql(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFram
 
 
 def registry_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rendered = run_sql(spark, sf_dir, registry_sql(spark=True), "orders", "part")
-    return rendered.select(F.inline(F.array(F.struct("*"))))
+    def build() -> DataFrame:
+        rows = run_sql(spark, sf_dir, registry_sql(spark=True), "orders", "part")
+        return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "documento_id")
+    return once(spark, sf_dir, "registry_raw", build)
 
 
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the generator keeps the optimiser from copying the rendering into every filter on the text
-    rendered = run_sql(spark, sf_dir, filings_sql(spark=True), "orders")
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return rendered.select("doc_id", "level", F.explode(F.array("text")).alias("text")).repartition(tasks, "doc_id")
+    def build() -> DataFrame:
+        rows = run_sql(spark, sf_dir, filings_sql(spark=True), "orders")
+        return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    return once(spark, sf_dir, "filings", build)
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_sql(spark, sf_dir, gold_sql(spark=True), "orders", "part")
+    return once(spark, sf_dir, "gold_spans", lambda: run_sql(spark, sf_dir, gold_sql(spark=True), "orders", "part"))
 
 
 def duck(sql: str) -> str:

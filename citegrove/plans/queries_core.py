@@ -6,8 +6,8 @@ from citegrove.functions.spans import slice_text
 from citegrove.operators import extract as X, prepare, registry as R, resolve as S
 from citegrove.operators.normalize import repair_words
 from citegrove.plans import corpora as C
-from citegrove.plans.verify import build_index, verify
-from citegrove.plans.tables import stored
+from citegrove.plans.verify import index_tables, verify
+from citegrove.plans.tables import once
 
 QUERIES, ORACLES = {}, {}
 
@@ -22,9 +22,10 @@ def query(name: str, oracle: str | None = None):
 
 
 def sentences(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
-    """Sentences of the filings with what they were made of, behind a generator so that filters do not repeat it."""
-    df = C.run_sql(spark, sf, f"WITH {C.filing_steps(True)} SELECT {', '.join(columns)} FROM sentences", "orders")
-    return df.select(F.inline(F.array(F.struct("*"))))
+    """Sentences of the filings with what they were made of."""
+    table = once(spark, sf, "sentences", lambda: C.run_sql(
+        spark, sf, f"WITH {C.filing_steps(True)} SELECT * FROM sentences", "orders"))
+    return table.selectExpr(*columns)
 
 
 def duck_sentences(select: str) -> str:
@@ -308,7 +309,16 @@ def infer_nature(spark, sf):
 
 
 def registry(spark, sf):
-    return R.build_registry(C.registry_raw(spark, sf))
+    """The built registry; its parsed tables are written once and shared by the queries."""
+    raw = C.registry_raw(spark, sf)
+    built = R.build_registry(raw)
+    built["decisions"] = once(spark, sf, "decisions", lambda: built["decisions"])
+    built["norms"] = once(spark, sf, "norms", lambda: built["norms"])
+    return {**built, "numbers": R.registry_numbers(built["decisions"]), "norm_index": R.registry_norms(built["norms"])}
+
+
+def index(spark, sf):
+    return index_tables(registry(spark, sf))
 
 
 _DEC_UF = "CASE WHEN t % 5 IN (2, 3) THEN NULL ELSE uf END"
@@ -399,7 +409,7 @@ UNION ALL SELECT 'shared_numbers', count(*) FROM (SELECT n FROM (SELECT number A
 UNION ALL SELECT 'rejected', 0"""))
 def registry_summary(spark, sf):
     b = registry(spark, sf)
-    return R.registry_summary(b["records"], stored(b["decisions"], "decisions"), b["norms"], b["rejected"])
+    return R.registry_summary(b["records"], b["decisions"], b["norms"], b["rejected"])
 
 
 @query("registry_warnings", dec(
@@ -418,7 +428,7 @@ def cited_spans(spark, sf) -> DataFrame:
            f"SELECT h.doc_id, h.slot, h.kind, h.span_start AS `start`, h.span_end AS `end`, n.number, split(n.c_acr, '[|]') AS class, "
            f"h.uf, CAST(NULL AS STRING) AS court, CASE WHEN h.kind IN ('sumula', 'artigo') THEN {C.norm_key('h.j')} END AS norm_key, "
            f"(h.slot + h.level) % 2 = 0 AS noisy FROM truth h LEFT JOIN num n ON h.doc_id = n.doc_id AND h.slot = n.slot")
-    return C.run_sql(spark, sf, sql, "orders", "part").select(F.inline(F.array(F.struct("*"))))
+    return once(spark, sf, "cited", lambda: C.run_sql(spark, sf, sql, "orders", "part"))
 
 
 _BASE = "list_extract(string_split({}, '|'), -1)"
@@ -426,17 +436,18 @@ _NOISE = "CASE WHEN (h.slot + h.level) % 2 = 0 THEN 'texto com ruído' ELSE 'tex
 _ANSWERS = CITED + f""",
 ans AS (SELECT DISTINCT t, {NUMBER} AS number, c_acr, c_uf, acr, CASE WHEN label = 'real' THEN 1 + CASE WHEN t % 11 = 0 THEN 1 ELSE 0 END
   + CASE WHEN t % 13 = 0 THEN 1 ELSE 0 END ELSE 0 END AS found, label FROM trd)"""
+_TWIN = f"(t % 11 = 0 AND acr = {C.by_court('(t + 5)', 0, 't')})"
 _STEPS = f"""CASE WHEN found > 1 THEN CASE WHEN c_acr = acr THEN '|classe exata' ELSE '' END
-  || CASE WHEN t % 13 = 0 THEN CASE WHEN {_BASE.format('c_acr')} = {_BASE.format('acr')} THEN '|classe-base' ELSE '' END
-  || CASE WHEN t % 5 IN (2, 3) THEN '' ELSE '|UF' END || '|duplicata' ELSE '' END ELSE '' END"""
+  || CASE WHEN t % 13 = 0 OR {_TWIN} THEN CASE WHEN {_BASE.format('c_acr')} = {_BASE.format('acr')} THEN '|classe-base' ELSE '' END
+  || CASE WHEN t % 5 IN (2, 3) THEN '' ELSE '|UF' END || CASE WHEN t % 13 = 0 THEN '|duplicata' ELSE '' END ELSE '' END ELSE '' END"""
 
 
 @query("tiebreak_cascade", truth(
     f"SELECT number, c_acr AS class, c_uf AS uf, CAST(found AS BIGINT) AS found, 'número:' || CAST(found AS STRING) || {_STEPS} AS steps, "
     "label FROM ans", _ANSWERS))
 def tiebreak_cascade(spark, sf):
-    index = build_index(C.registry_raw(spark, sf))
-    a = S.classify(S.answer_questions(S.questions(cited_spans(spark, sf)), index["profiles"], index["pairs"]))
+    keys = index(spark, sf)
+    a = S.classify(S.answer_questions(S.questions(cited_spans(spark, sf)), keys["profiles"], keys["pairs"]))
     return a.select("number", joined(F.col("class")).alias("class"), "uf",
                     F.regexp_extract(F.col("steps")[0], r"(\d+)", 1).cast("bigint").alias("found"), joined(F.col("steps")).alias("steps"), "label")
 
@@ -456,7 +467,7 @@ res AS (SELECT h.doc_id, h.level, h.slot, h.span_start, h.span_end, h.label, h.i
 @query("resolve_spans", truth(
     f"SELECT doc_id, span_start, label, id, situation, CAST({_CONF} AS DOUBLE) AS confidence FROM res", _RESOLVED))
 def resolve_spans(spark, sf):
-    out = S.resolve_spans(cited_spans(spark, sf), build_index(C.registry_raw(spark, sf)))
+    out = S.resolve_spans(cited_spans(spark, sf), index(spark, sf))
     return out.select("doc_id", F.col("start").cast("bigint").alias("span_start"), "label", "id", "situation", "confidence")
 
 

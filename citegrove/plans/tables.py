@@ -25,3 +25,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+_once: dict = {}
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A table derived from the input, written the first time a session asks for it and shared by its queries."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _once:
+        path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        build().write.parquet(path)
+        _once[key] = path
+    return spark.read.parquet(_once[key])
