@@ -15,6 +15,7 @@ def main():
     from citegrove.plans import catalogue, corpora, queries_core, queries_eval
     spark = (SparkSession.builder.master(f"local[{CPUS}]").appName("bench")
              .config("spark.sql.shuffle.partitions", CPUS).config("spark.ui.enabled", "false")
+             .config("spark.ui.showConsoleProgress", "false")
              .config("spark.driver.memory", "16g").config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("OFF")
     # the corpora are the input of the queries, not part of them
