@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegrove.llm import exact_dedup, packing
-from citegrove.llm.common import table
+from citegrove.llm import exact_dedup, language_id, packing
+from citegrove.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,3 +37,17 @@ def op1_packing(spark, sf_dir):
     packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
                          "offset", "bucket")
+
+
+def language_models(docs):
+    """Models learned from folds 0, 1 and 3 of 4; of these, sixteenth 3 calibrates the rejection instead."""
+    sixteenth = fold(docs, 16)
+    models = language_id.fit(sixteenth.filter("_fold % 4 != 2 AND _fold != 3").select("lang", "text"))
+    return language_id.calibrate(models, sixteenth.filter("_fold = 3").select("lang", "text"))
+
+
+@query
+def op2_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.predictions(language_models(docs), docs)
+    return fold(found, 4).select("doc_id", (F.col("_fold") == 2).alias("held_out"), "lang_pred", "score", "entropy", "accepted")
