@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegrove.llm import exact_dedup, language_id, packing, quality, topk_search
+from citegrove.llm import exact_dedup, html_extract, language_id, packing, quality, topk_search
 from citegrove.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,9 @@ def op9_quality_classifier(spark, sf_dir):
     network = quality.fit(docs, fold(labels, 5).filter("_fold <> 0"), label="quality")
     found = fold(quality.scores(network, docs), 5)
     return found.select("doc_id", (F.col("_fold") == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op4_html_extraction(spark, sf_dir):
+    found = html_extract.main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
