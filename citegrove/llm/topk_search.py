@@ -31,10 +31,12 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def choose_pivots(vectors: DataFrame, width: int, pivots: int, sample: int) -> np.ndarray:
+def choose_pivots(vectors: DataFrame, width: int, count: int, pivots: int, sample: int) -> np.ndarray:
     """Farthest-first choice among at most `sample` vectors (those of smallest hashed id): each pivot is the vector farthest
     from those before it."""
-    rows = vectors.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow()
+    share = 2 * sample / max(2 * sample, count)
+    some = vectors.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20))
+    rows = some.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow()
     pool = matrix(rows.column(0), width).astype(np.float64) if rows.num_rows else np.zeros((0, width))
     chosen: list[int] = []
     near = np.full(len(pool), np.inf)
@@ -98,7 +100,7 @@ def top_k(embeddings: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", v
     spark = embeddings.sparkSession
     vectors = whole_numbers(embeddings, id_col, vector, scale)
     width, rows = vectors.select(F.coalesce(F.max(F.size("v")), F.lit(0)), F.count("*")).first()
-    pivot = choose_pivots(vectors, width, pivots, sample)
+    pivot = choose_pivots(vectors, width, rows, pivots, sample)
     every = stored(pivot_table(vectors, pivot, width), "pivot-table")
     asking = every.withColumnRenamed("id", id_col).filter(is_query).withColumnRenamed(id_col, "id")
     asking = asking.groupBy("id").agg(F.min(F.struct("v", "far")).alias("x")).select("id", "x.v", "x.far")
