@@ -132,3 +132,38 @@ def grams(word: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
 
 def pack(array: np.ndarray) -> bytes:
     return np.ascontiguousarray(array).tobytes()
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], most_rows: int = 20_000) -> Iterator[pa.Table]:
+    """Tables made of whole groups, from batches sorted by `keys`: a group is never split, and small groups come together."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < most_rows:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
+        last = np.ones(rows, bool)
+        for k in keys:
+            column = t[k].to_numpy()
+            last &= column == column[-1]
+        cut = rows - int(last[::-1].argmin() if not last.all() else rows)
+        if cut:
+            yield t.slice(0, cut)
+            held = t.slice(cut).combine_chunks().to_batches()
+            rows -= cut
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def group_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Index of the first row of each group, and the number of rows at the end."""
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for k in keys:
+        column = table[k].to_numpy()
+        new[1:] |= column[1:] != column[:-1]
+    return np.append(np.flatnonzero(new), table.num_rows)

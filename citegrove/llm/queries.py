@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegrove.llm import exact_dedup, html_extract, language_id, packing, quality, topk_search
+from citegrove.llm import exact_dedup, html_extract, jaccard_join, language_id, mixing, packing, quality, topk_search
 from citegrove.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,15 @@ def op9_quality_classifier(spark, sf_dir):
 def op4_html_extraction(spark, sf_dir):
     found = html_extract.main_text(table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op5_mixing(spark, sf_dir):
+    plan = mixing.mixing_plan(table(spark, sf_dir, "documents"), max_repeats=4.0)
+    return plan.select("doc_id", F.when(F.col("source_key") != "null", F.substring("source_key", 2, 1 << 30)).alias("source"),
+                       "tokens", "uses", "epoch", "block", "slot", "weight")
+
+
+@query
+def op8_jaccard_join(spark, sf_dir):
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
