@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegrove.llm import exact_dedup, html_extract, jaccard_join, language_id, mixing, packing, quality, suffix_dedup, topk_search
+from citegrove.llm import exact_dedup, fuzzy_passages, html_extract, jaccard_join, language_id, mixing, packing, quality, suffix_dedup, topk_search
 from citegrove.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,8 @@ def op10_suffix_dedup(spark, sf_dir):
     found = suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
                         F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op7_fuzzy_passages(spark, sf_dir):
+    return fuzzy_passages.repeated_passages(table(spark, sf_dir, "documents"))
