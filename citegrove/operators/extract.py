@@ -15,7 +15,7 @@ from citegrove.functions.classes import canonical_class, known_acronyms
 from citegrove.functions.courts import court_code
 from citegrove.functions.dockets import canonical_docket, is_cnj, repair_digits
 from citegrove.functions.laws import law_code_from_name, law_code_from_number, read_law
-from citegrove.functions.spans import left_of, let, match_spans
+from citegrove.functions.spans import AFTER_CONTEXT, WHOLE, left_of, let, match_spans
 from citegrove.functions.text import fold_same_length, noise_flag
 from citegrove.operators import patterns as P
 from citegrove.operators.overlaps import resolve_overlaps
@@ -37,6 +37,7 @@ class Detector:
     spans: Callable[[Column], Column]
     left: int = 0
     right: int = 0
+    marks: str = WHOLE
 
 
 def _span(snippet: Column, **columns: Column) -> Column:
@@ -51,14 +52,21 @@ def _group(text: Column, pattern: str, i: int) -> Column:
 
 
 @per_session
-def _found(detectors: tuple[Detector, ...], text: str) -> Column:
-    """Matches of the detectors in a text column, with the place in the list and the windows each asked for."""
+def _found(detectors: tuple[Detector, ...], text: str, maps: bool = False) -> Column:
+    """Matches of the detectors in a text column, with the place in the list and the windows each asked for; with maps, the
+    stretch of the offset maps that spans of the match can reach (`base` is where it starts)."""
     def found(i: int, d: Detector) -> Column:
-        return F.transform(match_spans(F.col(text), d.pattern), lambda m: F.struct(
+        def stretch(name: str, m: Column) -> Column:
+            first = F.greatest(m["start"] - d.left, F.lit(0))
+            return F.slice(F.col(name), first + 1, m["end"] + d.right - first)
+        return F.transform(match_spans(F.col(text), d.pattern, d.marks), lambda m: F.struct(
             F.lit(i).alias("d"), m["start"].alias("start"), m["end"].alias("end"), m["match"].alias("match"),
             (left_of(F.col(text), m["start"], d.left) if d.left else F.lit("")).alias("left"),
-            (F.substring(F.col(text), m["end"] + 1, F.lit(d.right)) if d.right else F.lit("")).alias("right")))
-    none = F.array().cast("array<struct<d:int,start:int,end:int,match:string,left:string,right:string>>")
+            (F.substring(F.col(text), m["end"] + 1, F.lit(d.right)) if d.right else F.lit("")).alias("right"),
+            *([F.greatest(m["start"] - d.left, F.lit(0)).alias("base"), stretch("map_start", m).alias("map_start"),
+               stretch("map_end", m).alias("map_end")] if maps else [])))
+    more = ",base:int,map_start:array<int>,map_end:array<int>" if maps else ""
+    none = F.array().cast(f"array<struct<d:int,start:int,end:int,match:string,left:string,right:string{more}>>")
     return F.concat(*[F.coalesce(found(i, d), none) for i, d in enumerate(detectors)])
 
 
@@ -85,14 +93,22 @@ def _read_lambda(detectors: tuple[Detector, ...], m: Column) -> Column:
     return read
 
 
-def run_detectors(docs: DataFrame, detectors: list[Detector], text: str = "text") -> DataFrame:
-    """Spans of the detectors, overlaps included.  Bad input yields NULLs, never an exception, so one detector cannot
-    take the others down."""
-    keep = [c for c in docs.columns if c != text]
-    rows = docs.select(*keep, F.explode(_found(tuple(detectors), text)).alias("_m"))
+def run_detectors(docs: DataFrame, detectors: list[Detector], text: str = "text", maps: bool = False) -> DataFrame:
+    """Spans of the detectors, overlaps included.  Rules repeat as loops and in one way only, and functions yield NULLs for bad
+    input, so no text takes a detector down.  With maps (columns map_start, map_end of `prepare_text`), spans come with
+    offsets of the source; only the stretch of the maps that a match can reach travels with it."""
+    keep = [c for c in docs.columns if c not in (text, *(("map_start", "map_end") if maps else ()))]
+    rows = docs.select(*keep, F.explode(_found(tuple(detectors), text, maps)).alias("_m"))
     order = F.expr("array(" + ", ".join(str(d.order) for d in detectors) + ")")
-    return (rows.select(*keep, order[F.col("_m.d")].alias("detector"), F.explode(_read(tuple(detectors), "_m")).alias("s"))
-            .select(*keep, "detector", "s.*"))
+    spans = (rows.select(*keep, order[F.col("_m.d")].alias("detector"), F.explode(_read(tuple(detectors), "_m")).alias("s"),
+                         *(["_m.base", "_m.map_start", "_m.map_end"] if maps else []))
+             .select(*keep, "detector", "s.*", *(["base", "map_start", "map_end"] if maps else [])))
+    if not maps:
+        return spans
+    return (spans.withColumn("start", F.when(F.col("map_start").isNull(), F.col("start")).otherwise(
+                source_start(F.col("start") - F.col("base"), F.col("map_start"))))
+            .withColumn("end", F.when(F.col("map_end").isNull(), F.col("end")).otherwise(
+                source_end(F.col("end") - F.col("base"), F.col("map_end")))).drop("base", "map_start", "map_end"))
 
 
 # ------------------------------------------------------------------ numbers and classes
@@ -100,7 +116,7 @@ def run_detectors(docs: DataFrame, detectors: list[Detector], text: str = "text"
 def scan_numbers(docs: DataFrame, text: str = "text") -> DataFrame:
     """Every number of a text, tolerating OCR letters, spaces and line breaks: doc columns + start, end, number_text."""
     keep = [c for c in docs.columns if c != text]
-    return (docs.select(*keep, F.explode(match_spans(F.col(text), "(?U)" + P.NUMBER_RUN)).alias("m"))
+    return (docs.select(*keep, F.explode(match_spans(F.col(text), P.NUMBERS, AFTER_CONTEXT)).alias("m"))
             .select(*keep, "m.start", "m.end", F.col("m.match").alias("number_text")))
 
 
@@ -151,14 +167,14 @@ def anchor_class(left: Column) -> Column:
 
 def _docket_items(match: Column) -> Column:
     """The numbers of a match ('1.741.784/PR e 1.996.496/RJ' has two)."""
-    rx = "^" + P.DOCKET_ITEM
+    rx = P.DOCKET_ITEM
 
     def item(m: Column) -> Column:
         return F.struct(m["start"].alias("start"), m["end"].alias("end"),
                         F.regexp_extract(m["match"], rx, 1).alias("run"),
                         F.regexp_extract(m["match"], rx, 2).alias("suffix"),
                         _group(F.regexp_extract(m["match"], rx, 3), "([A-Z]{2})", 1).alias("uf"))
-    return F.transform(F.transform(match_spans(match, P.DOCKET_ITEM), item), lambda x: F.struct(
+    return F.transform(F.transform(match_spans(match, P.DOCKET_ITEMS, AFTER_CONTEXT), item), lambda x: F.struct(
         x["start"].alias("start"), x["end"].alias("end"), x["run"].alias("run"), x["suffix"].alias("suffix"),
         x["uf"].alias("uf"), canonical_docket(x["run"]).alias("number"), repair_digits(x["run"]).alias("digits")))
 
@@ -326,7 +342,7 @@ SUMULA = Detector("sumula", 2, P.SUMULA, _sumula_spans)
 THEME = Detector("theme", 3, P.THEME, _theme_spans)
 ARTICLE = Detector("article", 4, P.ARTICLE, _article_spans, right=LAW_WINDOW)
 ARTICLE_INVERSE = Detector("article_inverse", 5, P.ARTICLE_INVERSE, _inverse_article_spans)
-DOCKET = Detector("docket", 6, P.DOCKET_CHAIN, _docket_spans, left=CLASS_WINDOW, right=4)
+DOCKET = Detector("docket", 6, P.DOCKET_CHAIN, _docket_spans, left=CLASS_WINDOW, right=4, marks=AFTER_CONTEXT)
 DETECTORS = [INCOMPLETE, SUMULAS, SUMULA, THEME, ARTICLE, ARTICLE_INVERSE, DOCKET]
 
 
@@ -368,7 +384,4 @@ def extract_all(docs: DataFrame, text: str = "text") -> DataFrame:
     """Disjoint spans of all detectors, with offsets on the source text."""
     keep = [c for c in docs.columns if c != text]
     prepared = prepare_text(docs, text).select(*keep, "prepared", "map_start", "map_end")
-    spans = extract_candidates(prepared, "prepared")
-    moved = (spans.withColumn("start", source_start(F.col("start"), F.col("map_start")))
-             .withColumn("end", source_end(F.col("end"), F.col("map_end"))).drop("map_start", "map_end"))
-    return resolve_overlaps(moved)
+    return resolve_overlaps(run_detectors(prepared, DETECTORS, "prepared", maps=True))

@@ -12,15 +12,14 @@ from citegrove.rules import STATES, UFS
 
 SLOTS = 4          # citations per filing, at most
 
-# Sentences of a filing around a citation.
+# sentences around a citation
 CARRIERS = [
-    ("Não destoa desse entendimento o ", ", de clareza solar quanto ao ponto."),
-    ("Confira-se, a propósito, o ", ", que trata de situação equivalente."),
-    ("A orientação firmada no ", " foi reafirmada em julgamentos posteriores."),
-    ("O acórdão recorrido diverge frontalmente do que assentado no ",
-     ". Sob outro ângulo, a solução afronta a lei."),
-    ("Ao apreciar o ", ", o colegiado consolidou entendimento diametralmente oposto."),
-    ("Registre-se, por oportuno, o ", ", cuja fundamentação se pede vênia para transcrever."),
+    ("Nesse mesmo rumo caminha o ", ", lido em sessão sem divergência."),
+    ("Vale lembrar o ", ", examinado em caso parecido."),
+    ("A tese exposta no ", " segue sem reparo até hoje."),
+    ("A sentença contraria o que se lê no ", ". O recurso, por isso, merece provimento."),
+    ("Depois de examinar o ", ", a maioria seguiu caminho inverso."),
+    ("Cabe mencionar ainda o ", ", cujos argumentos são aqui adotados."),
 ]
 COURT_NAMES = {"STJ": "Superior Tribunal de Justiça", "STF": "Supremo Tribunal Federal",
                "TST": "Tribunal Superior do Trabalho", "TSE": "Tribunal Superior Eleitoral",
@@ -257,16 +256,16 @@ def filing_steps(spark: bool = False) -> str:
     || {pick(w, quoted(COMPLEMENTS))} || ' ' || {law} END"""
     rapp, ano = pick(w, quoted(RAPPORTEURS)), "CAST(2001 + k % 24 AS STRING)"
     incomplete = pick(v, [
-        f"'julgado do ' || court || ' proferido em ' || {ano} || ' pela relatoria de ' || rapp",
-        f"'precedente do ' || court || ' de ' || {ano} || ', da relatoria de ' || rapp",
-        f"'acórdão do ' || court || ' julgado em ' || {ano} || ' sob relatoria de ' || rapp",
-        f"'acórdão do ' || court || ', de relatoria do Ministro ' || rapp || ', julgado em ' || {ano}",
-        f"'julgado do ' || court || ' de ' || {ano} || ' (Rel. Min. ' || rapp || ')'"])
+        f"'acórdão do ' || court || ' firmado em ' || {ano} || ' sob a relatoria de ' || rapp",
+        f"'voto do ' || court || ' de ' || {ano} || ', pela relatoria de ' || rapp",
+        f"'precedente do ' || court || ' lavrado em ' || {ano} || ' sob relatoria da ' || rapp",
+        f"'aresto do ' || court || ', de relatoria da Ministra ' || rapp || ', proferido em ' || {ano}",
+        f"'decisão do ' || court || ' de ' || {ano} || ' (Rel. Min. ' || rapp || ')'"])
     theme = f"'Tema ' || {dotted('(1 + k % 3000)')} || {pick(v, quoted([' do STJ', '', ' da repercussão geral']))}"
     distractor = pick(v, [
-        "'que consta às fls. ' || CAST(10 + k % 890 AS STRING) || '/' || CAST(10 + k % 877 AS STRING)",
-        "'Processo nº ' || cnj", "'Protocolo nº 2022.' || CAST(100000 + k AS STRING)",
-        f"'valor da causa de R$ ' || {dotted('(1000 + k)')} || ',72'", "'enunciado 5 da I Jornada de Direito Civil'"])
+        "'documento de fls. ' || CAST(10 + k % 890 AS STRING) || '/' || CAST(10 + k % 877 AS STRING)",
+        "'Autos nº ' || cnj", "'Guia nº 2023.' || CAST(100000 + k AS STRING)",
+        f"'crédito de R$ ' || {dotted('(1000 + k)')} || ',35'", "'enunciado 12 da II Jornada de Direito Comercial'"])
     # noisy forms of a number: run together, spaced, broken after a dot, with letters for digits
     num = f"""CASE WHEN t % 5 < 2 THEN CASE WHEN level = 1 OR v = 0 THEN plain_dots WHEN v = 1 THEN {txt('plain')}
     WHEN v = 2 THEN replace(plain_dots, '.', ' ') WHEN v = 3 THEN replace(plain_dots, '.', '. ')

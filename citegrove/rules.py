@@ -6,6 +6,10 @@ Everything here is data.  The tables are small and of fixed size, so the jobs em
 
 # Court acronyms and state (UF) codes.
 COURTS = ["STF", "STJ", "TST", "TSE", "STM"]
+COURT_TITLES = {
+    "STF": "supremo tribunal federal", "STJ": "superior tribunal de justiça", "TST": "tribunal superior do trabalho",
+    "TSE": "tribunal superior eleitoral", "STM": "superior tribunal militar",
+}
 UFS = ["AC", "AL", "AP", "AM", "BA", "CE", "DF", "ES", "GO", "MA", "MT", "MS", "MG", "PA", "PB",
        "PR", "PE", "PI", "RJ", "RN", "RS", "RO", "RR", "SC", "SP", "SE", "TO"]
 
@@ -24,6 +28,9 @@ STATES = {
 OCR_LETTERS = "OoQDlLIi|!SsgqGbBZz"
 OCR_LETTER_DIGITS = "0000111111559966822"
 
+# How scanned texts show a lower-case letter of running text, and accents that come and go.
+OCR_CONFUSIONS = {"a": "á à â ã", "e": "é ê c", "i": "í l 1", "o": "ó ô õ 0", "u": "ú", "l": "1 I |", "s": "5 $", "m": "rn", "ç": "c"}
+
 # OCR swaps undone inside words, in the order they are tried (seen, meant).
 WORD_SWAPS = [("0", "O"), ("5", "S"), ("1", "L"), ("1", "I"), ("L", "I"), ("I", "L"), ("C", "E"), ("RN", "M")]
 
