@@ -9,6 +9,7 @@ one-to-one matching folds islands of touching spans, never whole documents.
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from citegrove.operators.overlaps import islands
+from citegrove.plans.tables import stored
 from citegrove.rules import BONUS_CAP, CONFIDENCE, ERROR_RATES, EXTRA_FRACTION, LABELS, LEVEL_WEIGHTS, MIN_IOU, \
     SEVERE_WEIGHT
 
@@ -114,7 +115,7 @@ def match_one_to_one(gold: DataFrame, pred: DataFrame) -> DataFrame:
     pairs = span_iou_join(gold, pred)
     contested = (F.count("*").over(Window.partitionBy("doc_id", "gold_idx")) > 1) | \
         (F.count("*").over(Window.partitionBy("doc_id", "pred_idx")) > 1)
-    marked = pairs.withColumn("contested", contested)
+    marked = stored(pairs.withColumn("contested", contested), "span-pairs")
     sure = marked.filter(~F.col("contested")).select("doc_id", "gold_idx", "pred_idx", "iou")
     rest = islands(marked.filter("contested"), ["doc_id"])
     entry = F.struct((-F.col("iou")).alias("o"), "gold_idx", "pred_idx", "iou")
@@ -126,30 +127,45 @@ def match_one_to_one(gold: DataFrame, pred: DataFrame) -> DataFrame:
     return sure.unionByName(folded)
 
 
-def component_extra(gold: DataFrame, pred: DataFrame, matches: DataFrame) -> DataFrame:
-    """Unmatched predictions that lie (90 %) inside a matched gold; they are not counted."""
-    free = pred.join(matches, (pred["doc_id"] == matches["doc_id"]) & (pred["idx"] == matches["pred_idx"]), "left_anti")
-    used = gold.join(matches, (gold["doc_id"] == matches["doc_id"]) & (gold["idx"] == matches["gold_idx"]), "left_semi")
+def judged(gold: DataFrame, pred: DataFrame, matches: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """gold with `pred_idx` and pred with `gold_idx` (NULL: unmatched).  Matches and both tables are written once, as the
+    counts below read them several times."""
+    m = (stored(match_one_to_one(gold, pred), "matches") if matches is None else matches).select("doc_id", "gold_idx", "pred_idx")
+    golds = gold.join(m.withColumnRenamed("gold_idx", "idx"), ["doc_id", "idx"], "left")
+    preds = pred.join(m.withColumnRenamed("pred_idx", "idx"), ["doc_id", "idx"], "left")
+    return stored(golds, "judged-gold"), stored(preds, "judged-pred")
+
+
+def _inside_matched(golds: DataFrame, preds: DataFrame) -> DataFrame:
+    used, free = golds.filter("pred_idx IS NOT NULL"), preds.filter("gold_idx IS NULL")
     inside = overlapping_pairs(used.select("doc_id", "idx", "start", "end"), free.select("doc_id", "idx", "start", "end"))
     return (inside.filter(F.col("common") / (F.col("b_end") - F.col("b_start")) >= EXTRA_FRACTION)
             .select(F.col("b_doc_id").alias("doc_id"), F.col("b_idx").alias("idx")).distinct())
 
 
-def matched_rows(gold: DataFrame, pred: DataFrame, matches: DataFrame) -> DataFrame:
+def component_extra(gold: DataFrame, pred: DataFrame, matches: DataFrame) -> DataFrame:
+    """Unmatched predictions that lie (90 %) inside a matched gold; they are not counted."""
+    return _inside_matched(*judged(gold, pred, matches))
+
+
+def _spurious(golds: DataFrame, preds: DataFrame) -> DataFrame:
+    return preds.filter("gold_idx IS NULL").join(_inside_matched(golds, preds), ["doc_id", "idx"], "left_anti")
+
+
+def matched_rows(golds: DataFrame, preds: DataFrame) -> DataFrame:
     """Matched pairs side by side: g_* and p_* columns, `hit` (right class and link)."""
-    g = gold.select(*[F.col(c).alias("g_" + c) for c in gold.columns])
-    p = pred.select(*[F.col(c).alias("p_" + c) for c in pred.columns])
-    j = (matches.join(g, (F.col("doc_id") == F.col("g_doc_id")) & (F.col("gold_idx") == F.col("g_idx")))
-         .join(p, (F.col("doc_id") == F.col("p_doc_id")) & (F.col("pred_idx") == F.col("p_idx"))))
+    g = golds.filter("pred_idx IS NOT NULL").select("doc_id", "pred_idx", *[F.col(c).alias("g_" + c) for c in golds.columns if c != "doc_id"])
+    p = preds.filter("gold_idx IS NOT NULL").select("doc_id", F.col("idx").alias("pred_idx"), *[
+        F.col(c).alias("p_" + c) for c in preds.columns if c != "doc_id"])
     same = F.col("g_label") == F.col("p_label")
     linked = (F.col("g_label") != "real") | F.coalesce(F.array_contains("g_ids", F.col("p_id")), F.lit(False))
-    return j.withColumn("same", same).withColumn("hit", same & linked)
+    return g.join(p, ["doc_id", "pred_idx"]).withColumn("same", same).withColumn("hit", same & linked)
 
 
 def confusion_events(gold: DataFrame, pred: DataFrame, doc_levels: DataFrame) -> DataFrame:
     """Long list (level, label, metric, value) whose sums are the counts of the metric."""
-    matches = match_one_to_one(gold, pred)
-    rows = matched_rows(gold, pred, matches)
+    golds, preds = judged(gold, pred)
+    rows = matched_rows(golds, preds)
     n = F.lit(1.0)
 
     def event(label: Column | str, metric: str, value: Column = n) -> Column:
@@ -165,36 +181,34 @@ def confusion_events(gold: DataFrame, pred: DataFrame, doc_levels: DataFrame) ->
         F.when(F.col("p_conf").isNotNull(), event(F.lit("-"), "brier_n")),
         F.when(F.col("p_conf").isNotNull(), event(F.lit("-"), "brier_sum", (F.col("p_conf") - y) ** 2))))
     paired = rows.select(F.col("g_level").alias("level"), F.explode(pair_events).alias("e")).select("level", "e.*")
-    support = gold.select("level", F.explode(F.array(
-        event("label", "support"), F.when(F.col("label") == "inventada", event(F.lit("-"), "invented")))).alias("e")) \
-        .filter("e IS NOT NULL").select("level", "e.*")
-    missed = gold.join(matches, (gold["doc_id"] == matches["doc_id"]) & (gold["idx"] == matches["gold_idx"]), "left_anti") \
-        .select("level", "label", F.lit("fn").alias("metric"), n.alias("value"))
-    free = pred.join(matches, (pred["doc_id"] == matches["doc_id"]) & (pred["idx"] == matches["pred_idx"]), "left_anti")
-    spurious = (free.join(component_extra(gold, pred, matches), ["doc_id", "idx"], "left_anti")
-                .join(doc_levels, "doc_id").select("level", "label", F.lit("fp").alias("metric"), n.alias("value")))
-    return paired.unionByName(support).unionByName(missed).unionByName(spurious)
+    of_gold = golds.select("level", F.explode(F.array_compact(F.array(
+        event("label", "support"), F.when(F.col("label") == "inventada", event(F.lit("-"), "invented")),
+        F.when(F.col("pred_idx").isNull(), event("label", "fn"))))).alias("e")).select("level", "e.*")
+    spurious = _spurious(golds, preds).join(doc_levels, "doc_id").select("level", "label", F.lit("fp").alias("metric"), n.alias("value"))
+    return paired.unionByName(of_gold).unionByName(spurious)
+
+
+def _sums(events: DataFrame, *keys: str) -> DataFrame:
+    """The sum of each metric as a column, in one pass."""
+    def total(metric: str) -> Column:
+        return F.sum(F.when(F.col("metric") == metric, F.col("value")).otherwise(0.0)).alias(metric)
+    return events.groupBy(*keys).agg(*[total(m) for m in ("tp", "fp", "fn", "support", "severe", "invented", "brier_sum", "brier_n")])
 
 
 def confusion_counts(events: DataFrame) -> DataFrame:
     """level, label, tp, fp, fn, support."""
-    def total(metric: str) -> Column:
-        return F.count_if(F.col("metric") == metric).alias(metric)
-    return events.filter("label <> '-'").groupBy("level", "label").agg(*[total(m) for m in ("tp", "fp", "fn", "support")])
+    counts = _sums(events.filter("label <> '-'"), "level", "label")
+    return counts.select("level", "label", *[F.col(c).cast("bigint").alias(c) for c in ("tp", "fp", "fn", "support")])
 
 
 def level_scores(events: DataFrame) -> DataFrame:
-    """Macro-F1, severe error rate, Brier bonus and score of every level."""
-    f1 = F.when(F.col("support") > 0, F.coalesce(F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")),
-                                                 F.lit(0.0)))
-    macro = confusion_counts(events).withColumn("f1", f1).groupBy("level").agg(F.avg("f1").alias("macro_f1"))
-
-    def total(metric: str) -> Column:
-        return F.sum(F.when(F.col("metric") == metric, F.col("value")).otherwise(0.0))
-    rest = events.groupBy("level").agg(total("severe").alias("severe"), total("invented").alias("invented"),
-                                       total("brier_sum").alias("bs"), total("brier_n").alias("bn"))
-    brier = F.try_divide("bs", "bn")
-    out = macro.join(rest, "level").withColumn("tau", F.coalesce(F.try_divide("severe", "invented"), F.lit(0.0)))
+    """Macro-F1, severe error rate, Brier bonus and score of every level, from one aggregate of the events."""
+    f1 = F.when((F.col("label") != "-") & (F.col("support") > 0), F.coalesce(
+        F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0)))
+    out = _sums(events, "level", "label").withColumn("f1", f1).groupBy("level").agg(
+        F.avg("f1").alias("macro_f1"), *[F.sum(c).alias(c) for c in ("severe", "invented", "brier_sum", "brier_n")])
+    brier = F.try_divide("brier_sum", "brier_n")
+    out = out.withColumn("tau", F.coalesce(F.try_divide("severe", "invented"), F.lit(0.0)))
     out = out.withColumn("s", F.col("macro_f1") * (1 - SEVERE_WEIGHT * F.col("tau"))).withColumn(
         "bonus", F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(BONUS_CAP), BONUS_CAP * (1 - brier))), F.lit(0.0)))
     return out.select("level", "macro_f1", "tau", "s", "bonus", (F.col("s") * (1 + F.col("bonus"))).alias("score"))
@@ -216,15 +230,12 @@ def span_conflicts(spans: DataFrame, min_iou: float | None = MIN_IOU) -> DataFra
 
 def error_report(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """One row per error: CLASSE, LINK, FALTOU or SOBROU, with a flag for the severe kind."""
-    matches = match_one_to_one(gold, pred)
-    rows = matched_rows(gold, pred, matches)
-    wrong = rows.filter(~F.col("hit")).select(
+    golds, preds = judged(gold, pred)
+    wrong = matched_rows(golds, preds).filter(~F.col("hit")).select(
         "doc_id", F.col("g_start").alias("start"), F.when(F.col("same"), "LINK").otherwise("CLASSE").alias("error"),
         F.col("g_label").alias("expected"), F.col("p_label").alias("predicted"),
         ((F.col("g_label") == "inventada") & (F.col("p_label") == "real")).alias("severe"))
-    missed = gold.join(matches, (gold["doc_id"] == matches["doc_id"]) & (gold["idx"] == matches["gold_idx"]), "left_anti")
-    free = pred.join(matches, (pred["doc_id"] == matches["doc_id"]) & (pred["idx"] == matches["pred_idx"]), "left_anti")
-    extra = free.join(component_extra(gold, pred, matches), ["doc_id", "idx"], "left_anti")
+    missed, extra = golds.filter("pred_idx IS NULL"), _spurious(golds, preds)
     null, no = F.lit(None).cast("string"), F.lit(False)
     return (wrong.unionByName(missed.select("doc_id", "start", F.lit("FALTOU").alias("error"), F.col("label").alias(
         "expected"), null.alias("predicted"), no.alias("severe")))

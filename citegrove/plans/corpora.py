@@ -5,6 +5,8 @@ The test tables hold no legal text, so a registry (from `orders` and `part`) and
 Spark runs it to build the input tables, the checks run it to know the truth (offsets, labels, ids) by
 construction.  Every filing is rendered within its row, so nothing is grouped or shuffled to build the texts.
 """
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from citegrove.plans.tables import once
@@ -367,6 +369,10 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once(spark, sf_dir, "gold_spans", lambda: run_sql(spark, sf_dir, gold_sql(spark=True), "orders", "part"))
 
 
+# steps that are read several times are worked out once
+_MANY_READERS = re.compile(r"\b(sentences|placed|truth|base|gold|pred|good|m|mm|free|extra|missed|res) AS \((?=SELECT)")
+
+
 def duck(sql: str) -> str:
     """The same SQL over the tables as the checking engine knows them."""
-    return sql.format(orders="orders", part="part")
+    return _MANY_READERS.sub(r"\1 AS MATERIALIZED (", sql.format(orders="orders", part="part"))

@@ -1,11 +1,14 @@
 """Queries over evaluation and result formats."""
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from citegrove.operators import evaluate as E, resolve as S, results
 from citegrove.plans import corpora as C
 from citegrove.plans.queries_core import _RESOLVED, cited_spans, index, joined, query
-from citegrove.plans.tables import once, stored
+from citegrove.plans.tables import once, shared_folder, stored
 from citegrove.rules import CONFIDENCE
+from citegrove.sources import files
 
 _H = "(slot * 3 + span_start + level) % 10"
 FIXTURE = f""",
@@ -48,8 +51,8 @@ lv AS (SELECT f1.level, macro_f1, severe / CAST(n AS DOUBLE) AS tau, macro_f1 *
   greatest(0.0, least(0.1, 0.1 * (1 - b))) AS bonus FROM f1 JOIN brier ON f1.level = brier.level JOIN inv ON inv.level = f1.level)"""
 
 
-def scored(select: str) -> str:
-    return C.duck(f"WITH {C.truth_sql()}{SCORED} {select}")
+def scored(select: str, more: str = "") -> str:
+    return C.duck(f"WITH {C.truth_sql()}{SCORED}{more} {select}")
 
 
 def _frame(spark, sf, what: str) -> DataFrame:
@@ -121,6 +124,25 @@ def span_conflicts(spark, sf):
     return E.span_conflicts(pred_frame(spark, sf), None).select("doc_id", "idx_a", "idx_b")
 
 
+@query("span_conflicts_by_iou", scored(
+    "SELECT * FROM (SELECT a.doc_id, a.idx AS idx_a, b.idx AS idx_b, (least(a.e, b.e) - greatest(a.s, b.s)) / CAST((a.e - a.s) + (b.e - b.s) "
+    "- (least(a.e, b.e) - greatest(a.s, b.s)) AS DOUBLE) AS iou FROM twice a JOIN twice b ON a.doc_id = b.doc_id AND a.idx < b.idx "
+    "AND a.s < b.e AND b.s < a.e) WHERE iou >= 0.5",
+    ", twice AS (SELECT doc_id, idx, s, e FROM pred UNION ALL SELECT doc_id, idx + 1000, s + 6, e + 6 FROM gold)"))
+def span_conflicts_by_iou(spark, sf):
+    gold, pred = both(spark, sf)
+    moved = gold.select("doc_id", F.col("idx") + 1000, F.col("start") + 6, F.col("end") + 6)
+    return E.span_conflicts(pred.select("doc_id", "idx", "start", "end").union(moved))
+
+
+@query("gold_conflicts", scored(
+    "SELECT a.doc_id, a.idx AS idx_a, b.idx AS idx_b FROM wide a JOIN wide b ON a.doc_id = b.doc_id AND a.idx < b.idx AND a.s < b.e AND b.s < a.e",
+    ", wide AS (SELECT doc_id, idx, s, e + CASE WHEN idx % 4 = 0 THEN 60 ELSE 0 END AS e FROM gold)"))
+def gold_conflicts(spark, sf):
+    wide = gold_frame(spark, sf).withColumn("end", F.col("end") + F.when(F.col("idx") % 4 == 0, 60).otherwise(0))
+    return E.span_conflicts(wide, None).select("doc_id", "idx_a", "idx_b")
+
+
 @query("error_report", scored(
     "SELECT doc_id, s AS start, CASE WHEN gl = pl THEN 'LINK' ELSE 'CLASSE' END AS error, gl AS expected, pl AS predicted, "
     "CASE WHEN gl = 'inventada' AND pl = 'real' THEN 1 ELSE 0 END AS severe FROM mm WHERE NOT hit "
@@ -230,7 +252,7 @@ def parse_gold_cells(spark, sf):
     f"SELECT d.doc_id, count(b.doc_id) AS n, coalesce(string_agg('c' || CAST(r AS STRING) || ':' || CAST(span_start AS STRING) || ':' || label, '|' ORDER BY span_start), '') AS items "
     f"FROM {_DOCS} d LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY span_start) AS r FROM base) b ON d.doc_id = b.doc_id GROUP BY d.doc_id"))
 def result_documents(spark, sf):
-    out = results.result_documents(all_docs(spark, sf), decided(spark, sf).withColumn("snippet", F.lit("x")))
+    out = results.result_documents(all_docs(spark, sf), decided(spark, sf).withColumn("snippet", F.lit("x")), "registro")
     c = F.from_json("json", "schema_version string, documento_id string, citacoes array<struct<id:string,inicio:bigint,classificacao:string>>")["citacoes"]
     return out.select("doc_id", c.alias("c")).select("doc_id", F.size("c").cast("bigint").alias("n"), F.array_join(F.transform(
         "c", lambda x: F.concat_ws(":", x["id"], x["inicio"].cast("string"), x["classificacao"])), "|").alias("items"))
@@ -258,3 +280,40 @@ def normalise_id(spark, sf):
     return d.groupBy("l_orderkey", "l_partkey", "id").agg(F.count("*").alias("n"))
 
 
+# ------------------------------------------------------------------ round trips through files
+
+# text with quotes, a comma and a line break, or none at all
+_SNIPPET = """CASE slot % 4 WHEN 0 THEN 'diz "' || kind || '", e' WHEN 1 THEN kind || chr(10) || 'linha' WHEN 2 THEN NULL ELSE kind END"""
+
+
+def _with_snippet(df: DataFrame) -> DataFrame:
+    return df.withColumn("snippet", F.expr(_SNIPPET.replace("chr(10)", "char(10)")))
+
+
+@query("result_json_roundtrip", scored(
+    f"SELECT doc_id, 'c' || CAST(row_number() OVER (PARTITION BY doc_id ORDER BY span_start) AS STRING) AS cit, span_start, span_end, {_SNIPPET} AS snippet, "
+    "CASE WHEN kind = 'artigo' THEN 'lei' ELSE 'jurisprudencia' END AS kind, label, CASE WHEN label = 'real' THEN 'registro' END AS source, "
+    "CASE WHEN label = 'real' THEN CAST(id AS STRING) END AS id, CASE WHEN h <> 6 THEN CAST(0.5 + 0.05 * h AS DOUBLE) END AS confidence FROM base "
+    f"UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM {_DOCS} WHERE doc_id NOT IN (SELECT doc_id FROM base)"))
+def result_json_roundtrip(spark, sf):
+    folder = f"{shared_folder(spark).rstrip('/')}/results-{uuid.uuid4().hex}"
+    files.write_result_json(results.result_documents(all_docs(spark, sf), _with_snippet(decided(spark, sf)), "registro"), folder)
+    back = files.read_result_json(spark, folder)
+    c = back.select(F.col("documento_id").alias("doc_id"), F.explode_outer("citacoes").alias("c"))
+    return c.select("doc_id", F.col("c.id").alias("cit"), F.col("c.inicio").cast("bigint").alias("span_start"), F.col("c.fim").cast("bigint").alias("span_end"),
+                    F.col("c.trecho").alias("snippet"), F.col("c.tipo").alias("kind"), F.col("c.classificacao").alias("label"),
+                    F.col("c.resolucao.fonte").alias("source"), F.col("c.resolucao.id_canonico").alias("id"), F.col("c.confianca").alias("confidence"))
+
+
+@query("gold_csv_roundtrip", scored(
+    f"SELECT doc_id, CASE WHEN slot % 3 <> 0 THEN CAST(level AS INTEGER) END AS level, 'c' || CAST(slot AS STRING) AS cit, CAST(span_start AS INTEGER) AS span_start, "
+    f"CAST(span_end AS INTEGER) AS span_end, coalesce({_SNIPPET}, '') AS snippet, label, coalesce(CAST(id AS STRING), '') AS id FROM base"))
+def gold_csv_roundtrip(spark, sf):
+    path = f"{shared_folder(spark).rstrip('/')}/gold-{uuid.uuid4().hex}"
+    files.write_gold_csv(_with_snippet(decided(spark, sf)).select(
+        F.col("doc_id").alias("documento_id"), F.when(F.col("slot") % 3 != 0, F.col("level")).alias("nivel"),
+        F.concat(F.lit("c"), F.col("slot").cast("string")).alias("citacao_id"), F.col("start").alias("inicio"), F.col("end").alias("fim"),
+        F.col("snippet").alias("trecho"), F.col("label").alias("classificacao"), F.col("id").alias("id_canonico")), path)
+    return files.read_gold_csv(spark, path).select(
+        F.col("documento_id").alias("doc_id"), F.col("nivel").alias("level"), F.col("citacao_id").alias("cit"), F.col("inicio").alias("span_start"),
+        F.col("fim").alias("span_end"), F.col("trecho").alias("snippet"), F.col("classificacao").alias("label"), F.col("id_canonico").alias("id"))

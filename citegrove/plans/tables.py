@@ -2,7 +2,7 @@
 
 Spans and registry keys are used several times; writing them once keeps the texts from being read again, cuts the
 lineage and survives the loss of executors.  They go to the shared folder the session names in
-`spark.checkpoint.dir`; a temporary folder is used only where that is unset, as in tests on one machine.
+`spark.checkpoint.dir`; on a local master a temporary folder is used where that is unset, elsewhere that is an error.
 """
 import tempfile
 import uuid
@@ -15,6 +15,8 @@ _FOLDER = "spark.checkpoint.dir"
 def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get(_FOLDER, None)
     if folder is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError(f"set {_FOLDER} to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="citegrove-")
         spark.conf.set(_FOLDER, folder)
     return folder
