@@ -1,9 +1,13 @@
 """Queries over labelled variants, perturbed registries and metamorphic edits."""
-from pyspark.sql import functions as F
+import functools
 
-from citegrove.operators import augment as A, extract as X, metamorphic as M, variants as V
+from pyspark.sql import DataFrame, functions as F
+
+from citegrove.operators import augment as A, evaluate as E, extract as X, metamorphic as M, variants as V
 from citegrove.plans import corpora as C
 from citegrove.plans.queries_core import dec, duck_sentences, filings_text, query, registry, sentences, spans_out, truth
+from citegrove.plans.tables import stored
+from citegrove.plans.verify import verify
 from citegrove.plans.queries_eval import gold_frame  # noqa: F401  (registers the evaluation queries first)
 
 _SPOTS = "list_filter(range(1, length(plain_dots) + 1), lambda p: contains('015698', substr(plain_dots, p, 1)))"
@@ -82,7 +86,8 @@ def remap_gold(spark, sf):
 
 
 def _gold_spans(spark, sf):
-    return C.gold(spark, sf).select("doc_id", "kind", F.col("span_start").alias("start"), F.col("span_end").alias("end"))
+    slot = F.substring("cit_id", 2, 10).cast("bigint").alias("slot")
+    return C.gold(spark, sf).select("doc_id", slot, "kind", F.col("span_start").alias("start"), F.col("span_end").alias("end"))
 
 
 _SHIFT = f"(SELECT count(*) FROM truth o WHERE o.doc_id = h.doc_id AND o.kind = 'acordao' AND o.span_end <= h.span_start) * {len(M.FOOTER)}"
@@ -103,3 +108,79 @@ def remap_spans(spark, sf):
     return spans_out(M.remap_spans(spans, M.wrap_parens(spans)), F.col("kind"))
 
 
+# ------------------------------------------------------------------ edits that must not change the answer
+
+PROSE = ["A audiência de conciliação foi remarcada a pedido das partes.", "O oficial de justiça certificou a entrega do mandado.",
+         "As custas foram recolhidas no prazo, como se vê do comprovante."]
+_SAME_PLACE = truth("SELECT doc_id, span_start, span_end, kind FROM truth")
+
+
+@query("reflow", _SAME_PLACE)
+def reflow(spark, sf):
+    return spans_out(X.extract_all(filings_text(spark, sf).withColumn("text", M.reflow(F.col("text")))), F.col("kind"))
+
+
+@query("nbsp_inside", _SAME_PLACE)
+def nbsp_inside(spark, sf):
+    return spans_out(X.extract_all(M.nbsp_inside(filings_text(spark, sf), _gold_spans(spark, sf))), F.col("kind"))
+
+
+def _edits(spark, sf) -> dict:
+    """name -> (edited docs, insertion points or None)"""
+    docs, gold = filings_text(spark, sf), _gold_spans(spark, sf)
+    prose = F.element_at(F.array(*[F.lit(p) for p in PROSE]), (F.pmod(F.crc32("doc_id"), F.lit(len(PROSE))) + 1).cast("int"))
+    brackets, hyphens, foreign = M.wrap_parens(gold.filter("slot % 2 = 0")), M.hyphenate(docs, gold), M.interleave_prose(docs, prose)
+    jittered, blanks = M.jitter_spaces(docs, gold, F.col("doc_id"))
+    return {"sem mudança": (docs, None), "linhas": (docs.withColumn("text", M.reflow(F.col("text"))), None), "nbsp": (M.nbsp_inside(docs, gold), None),
+            "hífens": (M.insert_text(docs, hyphens), hyphens), "prosa": (M.insert_text(docs, foreign), foreign),
+            "espaços": (M.insert_text(jittered, blanks), blanks), "parênteses": (M.insert_text(docs, brackets), brackets)}
+
+
+def _extracted_back(spark, sf, name: str):
+    """What is found in the edited text, beside the gold spans carried through the edit."""
+    docs, points = _edits(spark, sf)[name]
+    found = M.outside_insertions(X.extract_all(docs), points) if name == "prosa" else X.extract_all(docs)
+    gold = M.remap_spans(_gold_spans(spark, sf), points)
+    same = ["doc_id", "start", "end", "kind"]
+    found = found.select("doc_id", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "kind")
+    gold = gold.select("slot", "doc_id", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "kind")
+    return gold.join(found, same, "full_outer").select("doc_id", "slot", "kind")
+
+
+_EACH_FOUND = truth("SELECT doc_id, slot, kind FROM truth")
+
+
+@query("hyphenate", _EACH_FOUND)
+def hyphenate(spark, sf):
+    return _extracted_back(spark, sf, "hífens")
+
+
+@query("interleave_prose", _EACH_FOUND)
+def interleave_prose(spark, sf):
+    return _extracted_back(spark, sf, "prosa")
+
+
+@query("jitter_spaces", _EACH_FOUND)
+def jitter_spaces(spark, sf):
+    return _extracted_back(spark, sf, "espaços")
+
+
+@query("metamorphic_matrix", "SELECT e AS edit, CAST(lv AS BIGINT) AS level, CAST(1.0 AS DOUBLE) AS macro_f1 FROM (VALUES ('sem mudança'), ('linhas'), ('nbsp'), ('hífens'), "
+       "('prosa'), ('espaços')) t(e), (VALUES (1), (2)) l(lv)")
+def metamorphic_matrix(spark, sf):
+    """One verification over all edits of all filings; the edit is part of the document's name, and scores are by edit."""
+    edits = {k: v for k, v in _edits(spark, sf).items() if k != "parênteses"}
+    docs = stored(functools.reduce(DataFrame.unionByName, [d.select(F.concat(F.lit(k + "|"), "doc_id").alias("doc_id"), "text") for k, (d, _) in edits.items()]), "edits")
+    gold = C.gold(spark, sf).withColumn("row", F.xxhash64("doc_id", "span_start")).select(
+        "doc_id", "level", "row", F.col("span_start").alias("start"), F.col("span_end").alias("end"), "label", F.array_compact(F.array(F.col("id").cast("string"))).alias("ids"))
+    moved = [(gold if p is None else M.remap_spans(gold, p)).withColumn("doc_id", F.concat(F.lit(k + "|"), "doc_id")) for k, (_, p) in edits.items()]
+    golds = stored(functools.reduce(DataFrame.unionByName, moved).withColumnRenamed("row", "idx"), "edited-gold")
+    found = verify(docs, C.registry_raw(spark, sf))
+    pred = stored(found.select("doc_id", F.xxhash64("start", "end").alias("idx"), "start", "end", "label", F.col("id").cast("string").alias("id"),
+                               F.col("confidence").alias("conf")), "edited-pred")
+    foreign = edits["prosa"][1].withColumn("doc_id", F.concat(F.lit("prosa|"), "doc_id"))
+    pred = M.outside_insertions(pred, foreign)
+    edit = F.substring_index("doc_id", "|", 1)
+    levels = golds.select("doc_id", F.concat_ws("|", edit, "level").alias("level")).distinct()
+    events = E.confusion_events(golds.withColumn("level", F.concat_ws("|", edit, "level")), pred, levels)
+    return E.level_scores(events).select(F.substring_index("level", "|", 1).alias("edit"), F.substring_index("level", "|", -1).cast("bigint").alias("level"), "macro_f1")
