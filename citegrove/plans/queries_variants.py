@@ -3,11 +3,12 @@ import functools
 
 from pyspark.sql import DataFrame, functions as F
 
-from citegrove.operators import augment as A, evaluate as E, extract as X, metamorphic as M, variants as V
+from citegrove.operators import augment as A, evaluate as E, extract as X, metamorphic as M, stress as S, variants as V
+from citegrove.operators.resolve import resolve_spans
 from citegrove.plans import corpora as C
 from citegrove.plans.queries_core import dec, duck_sentences, filings_text, query, registry, sentences, spans_out, truth
 from citegrove.plans.tables import stored
-from citegrove.plans.verify import verify
+from citegrove.plans.verify import build_index, verify
 from citegrove.plans.queries_eval import gold_frame  # noqa: F401  (registers the evaluation queries first)
 
 _SPOTS = "list_filter(range(1, length(plain_dots) + 1), lambda p: contains('015698', substr(plain_dots, p, 1)))"
@@ -184,3 +185,76 @@ def metamorphic_matrix(spark, sf):
     levels = golds.select("doc_id", F.concat_ws("|", edit, "level").alias("level")).distinct()
     events = E.confusion_events(golds.withColumn("level", F.concat_ws("|", edit, "level")), pred, levels)
     return E.level_scores(events).select(F.substring_index("level", "|", 1).alias("edit"), F.substring_index("level", "|", -1).cast("bigint").alias("level"), "macro_f1")
+
+
+# ------------------------------------------------------------------ stress: every record in a written form
+
+_FORM = "CAST((id - id % 10) / 10 AS BIGINT) % 6"
+_OWN = "(SELECT number FROM (SELECT number FROM dec UNION ALL SELECT alias FROM dec WHERE alias IS NOT NULL) GROUP BY number HAVING count(*) = 1)"
+_SCORE = "count(*) AS cases, 0 AS ambiguous, 0 AS failed, 0 AS severe"
+
+
+def stress_cases(spark, sf) -> DataFrame:
+    """Decisions of unique number, numbers no record has, decisions without their number, norms, distractors."""
+    b = registry(spark, sf)
+    key, six = F.floor(F.col("id") / 10), (F.floor(F.col("id") / 10) % 6)
+    carrier = F.element_at(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(z).alias("z")) for a, z in C.CARRIERS]), (key % len(C.CARRIERS) + 1).cast("int"))
+    around = {"before": carrier["a"], "after": carrier["z"]}
+    dec_rows = b["decisions"].withColumn("key", F.col("id"))
+    own = b["numbers"].groupBy("number").agg(F.count("*").alias("n")).filter("n = 1").select("number")
+    form = F.element_at(F.array(*[F.lit(x) for x in S.NUMBER_FORMS]), (six + 1).cast("int"))
+    real = S.cases(S.render_citations(dec_rows.join(own, "number", "left_semi"), form), "decisão", form, "real", F.col("id"), **around)
+    absent = A.nonexistent_numbers(dec_rows.select("key", F.col("number").alias("shape")), b["numbers"]).filter("absent IS NOT NULL")
+    made = dec_rows.join(absent, "key").withColumn("number", F.col("absent"))
+    invented = S.cases(S.render_citations(made, F.lit("limpo")), "ausente", six, "inventada", F.lit(None), **around)
+    dated = dec_rows.filter("rapporteur IS NOT NULL").withColumns({"court": F.element_at(F.array(*[F.lit(c) for c in C.COURT_ORDER]), (key % 5 + 1).cast("int")),
+                                                                   "rapporteur": F.regexp_replace("rapporteur", r"^Min\. ", "")})
+    open_ = S.cases(S.render_incomplete(dated, six), "incompleta", six, "incompleta", F.lit(None), **around)
+    norms = b["norm_index"].withColumn("key", F.col("id"))
+    lawful = S.cases(S.render_norms(norms, six), "norma", six, "real", F.col("id"), **around)
+    nothing = S.cases(S.render_distractors(dec_rows.select("id", "key"), six), "distrator", six, None, F.lit(None), **around)
+    return functools.reduce(DataFrame.unionByName, [real, invented, open_, lawful, nothing])
+
+
+@query("stress_scoreboard", dec(
+    f"SELECT 'decisão' AS section, list_extract({list(S.NUMBER_FORMS)}, CAST({_FORM} AS INTEGER) + 1) AS form, {_SCORE} FROM dec WHERE number IN {_OWN} GROUP BY 1, 2 "
+    f"UNION ALL SELECT s, CAST({_FORM} AS STRING), {_SCORE} FROM dec, (VALUES ('ausente'), ('incompleta'), ('distrator')) v(s) GROUP BY 1, 2 "
+    f"UNION ALL SELECT 'norma', CAST({_FORM} AS STRING), {_SCORE} FROM (SELECT norm_key, max_by(id, documento_id) AS id FROM nor WHERE norm_key IS NOT NULL GROUP BY norm_key) GROUP BY 1, 2"))
+def stress_scoreboard(spark, sf):
+    known = stored(stress_cases(spark, sf), "stress-cases")
+    found = verify(known.select("doc_id", "text"), C.registry_raw(spark, sf))
+    out = S.scoreboard(S.verdicts(known, found))
+    return out.select("section", "form", "cases", *[F.col(c).cast("int").alias(c) for c in ("ambiguous", "failed", "severe")])
+
+
+@query("variant_matrix", "SELECT v AS variant, CAST(lv AS BIGINT) AS level, CAST(1.0 AS DOUBLE) AS macro_f1 FROM (VALUES ('ids novos'), ('tribunais trocados'), "
+       "('só normas')) t(v), (VALUES (1), (2)) l(lv)")
+def variant_matrix(spark, sf):
+    """The same filings against changed registries, each with the gold that belongs to it; scores by variant."""
+    raw, b, gold = C.registry_raw(spark, sf), registry(spark, sf), C.gold(spark, sf)
+    moved, ids = V.permute_ids(raw)
+    only_norms = raw.join(V.keep_only(b["records"], norms=True).select("id"), "id", "left_semi")
+    no_decisions = gold.withColumn("gone", (F.col("label") == "real") & (F.col("kind") == "acordao"))
+    no_decisions = no_decisions.withColumns({"label": F.when(F.col("gone"), "inventada").otherwise(F.col("label")), "id": F.when(~F.col("gone"), F.col("id"))}).drop("gone")
+    variants = {"ids novos": (moved, V.remap_gold(gold, ids)),
+                "tribunais trocados": (V.relabel_courts(raw, b["numbers"], gold), gold), "só normas": (only_norms, no_decisions)}
+    # records of equal text, and of one norm, are equally right
+    twin = [b["decisions"].select("id", F.col("signature").alias("k")), b["norms"].filter("norm_key IS NOT NULL").select("id", F.col("norm_key").alias("k"))]
+    twins = stored(functools.reduce(DataFrame.unionByName, [t.join(t.withColumnRenamed("id", "twin"), "k").select("id", "twin") for t in twin]), "twins")
+    renamed = twins.join(ids.withColumnRenamed("old_id", "id"), "id").select(F.col("new_id").alias("id"), "twin").join(
+        ids.withColumnRenamed("old_id", "twin"), "twin").select("id", F.col("new_id").alias("twin"))
+    spans = stored(X.extract_all(filings_text(spark, sf)), "variant-spans")
+    golds, preds = [], []
+    for name, (reg, g) in variants.items():
+        doc = F.concat(F.lit(name + "|"), "doc_id").alias("doc_id")
+        of = (renamed if name == "ids novos" else twins).groupBy("id").agg(F.collect_set("twin").alias("twins"))
+        g = g.join(of, "id", "left")
+        golds.append(g.select(doc, F.concat(F.lit(name + "|"), F.col("level").cast("string")).alias("level"), F.xxhash64("span_start", "span_end").alias("idx"),
+                              F.col("span_start").alias("start"), F.col("span_end").alias("end"), "label",
+                              F.array_compact(F.concat(F.array("id"), F.coalesce("twins", F.array().cast("array<bigint>")))).cast("array<string>").alias("ids")))
+        found = resolve_spans(spans, build_index(reg))
+        preds.append(found.select(doc, F.xxhash64("start", "end").alias("idx"), "start", "end", "label", F.col("id").cast("string").alias("id"), F.col("confidence").alias("conf")))
+    golds = stored(functools.reduce(DataFrame.unionByName, golds), "variant-gold")
+    preds = stored(functools.reduce(DataFrame.unionByName, preds), "variant-pred")
+    scores = E.level_scores(E.confusion_events(golds, preds, golds.select("doc_id", "level").distinct()))
+    return scores.select(F.substring_index("level", "|", 1).alias("variant"), F.substring_index("level", "|", -1).cast("bigint").alias("level"), "macro_f1")
