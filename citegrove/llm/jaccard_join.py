@@ -93,13 +93,22 @@ def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b) & (a > 0)).sum(-1) / np.maximum(((a > 0) | (b > 0)).sum(-1), 1)
 
 
+def _connect(labels: np.ndarray, i: int, near: np.ndarray) -> np.ndarray:
+    """Of the rows `near` to row i, one of each group that isn't connected with it yet; connects them."""
+    groups, first = np.unique(labels[near], return_index=True)
+    new = groups != labels[i]
+    labels[np.isin(labels, groups[new])] = labels[i]
+    return near[first[new]]
+
+
 def bucket_links(ids: np.ndarray, sketch: np.ndarray, link: float, done: float) -> list[tuple[int, int]]:
-    """Links that join similar members of one bucket. A leader is compared with all others and linked where the estimate
-    reaches `link`; those that reach `done` need no comparison of their own, as whoever is similar to them is linked too."""
-    found, left = [], np.arange(len(ids))
+    """Links that connect all similar members of one bucket, fewer than it has members. A leader is compared with all others
+    and connected where the estimate reaches `link`; those that reach `done` need no comparison of their own, as whoever is
+    similar to them is connected too."""
+    found, left, labels = [], np.arange(len(ids)), np.arange(len(ids))
     while len(left) > 1:
         e = alike(sketch[left[0]], sketch[left[1:]])
-        found += [(int(ids[left[0]]), int(i)) for i in ids[left[1:]][e >= link]]
+        found += [(int(ids[left[0]]), int(ids[i])) for i in _connect(labels, left[0], left[1:][e >= link])]
         left = left[1:][e < done]
     return found
 
@@ -128,9 +137,10 @@ def candidate_links(buckets: DataFrame, link: float, done: float) -> DataFrame:
                 if sides[s] == 2:
                     links += bucket_links(ids[s:e], sketch[s:e], link, done)
                 else:
-                    other = np.flatnonzero(sides[s:e] == 1) + s
-                    for i in (np.flatnonzero(sides[s:e] == 0) + s).tolist():
-                        links += [(int(ids[i]), int(x)) for x in ids[other][alike(sketch[i], sketch[other]) >= link]]
+                    other, labels = np.flatnonzero(sides[s:e] == 1), np.arange(e - s)
+                    for i in np.flatnonzero(sides[s:e] == 0).tolist():
+                        near = other[alike(sketch[s + i], sketch[s + other]) >= link]
+                        links += [(int(ids[s + i]), int(ids[s + x])) for x in _connect(labels, i, near)]
             a, b = (np.array(links, np.int64).reshape(-1, 2)[:, i] for i in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
