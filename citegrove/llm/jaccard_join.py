@@ -239,7 +239,7 @@ def exact_links(members: DataFrame, docs: DataFrame, k: int, similarity: float,
     return dealt.mapInArrow(measure, "id long, links long, label long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, recall: float = 0.999, bucket: int = 2048,
+def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, recall: float = 0.999, bucket: int = 4096,
                     most_shingles: int = 1 << 19, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: id_col, class_id (the least id that it is linked with, through others too), n_links (other
     documents whose set of k-word shingles has a Jaccard similarity of at least `similarity`), copies (documents of an equal
