@@ -202,10 +202,11 @@ def exact_links(members: DataFrame, docs: DataFrame, k: int, similarity: float,
     share = Fraction(str(similarity))
 
     def measure(batches):
-        for t in whole_groups(batches, keys, 2_000):
+        for t in whole_groups(batches, keys, 1_000):
             data, offsets = text_buffers(t["_text"])
             ids, side, copies = (t[c].to_numpy() for c in ("id", "side", "copies"))
-            h, row = shingle_sets(data, offsets, k)
+            sets = [(h, row + a) for a, b in chunks(offsets) for h, row in [shingle_sets(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], k)]]
+            h, row = (np.concatenate(x) for x in zip(*sets, strict=True))
             n = np.bincount(row, minlength=len(ids))
             stops = np.cumsum(n)
             links, label = np.zeros(len(ids), np.int64), ids.copy()
@@ -214,7 +215,7 @@ def exact_links(members: DataFrame, docs: DataFrame, k: int, similarity: float,
                 part = slice(stops[s] - n[s], stops[e - 1])
                 distinct, column = np.unique(h[part], return_inverse=True)
                 both = np.zeros((e - s, e - s), np.float32)
-                step = max(1, (1 << 23) // (e - s))
+                step = max(1, (1 << 21) // (e - s))
                 for c in range(0, len(distinct), step):
                     inside = (column >= c) & (column < c + step)
                     x = np.zeros((e - s, min(step, len(distinct) - c)), np.float32)
@@ -240,7 +241,7 @@ def exact_links(members: DataFrame, docs: DataFrame, k: int, similarity: float,
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, recall: float = 0.999, bucket: int = 4096,
-                    most_shingles: int = 1 << 19, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+                    most_shingles: int = 1 << 18, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: id_col, class_id (the least id that it is linked with, through others too), n_links (other
     documents whose set of k-word shingles has a Jaccard similarity of at least `similarity`), copies (documents of an equal
     set, itself too), representative (the least of these).
