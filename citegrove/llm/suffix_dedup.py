@@ -205,7 +205,7 @@ def advance(state: DataFrame, strings, bits: int, earlier: bool, decide, length:
 
 
 def repeated_strings(docs: DataFrame, length: int = 50, part: int = 28, id_col: str = "doc_id", text: str = "text",
-                     block_bytes: int = 2 << 20) -> tuple[DataFrame, DataFrame]:
+                     block_bytes: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
     """(blocks, spans): the documents in blocks, and for each block the byte ranges that strings of `length` bytes cover which
     also start in a document with a smaller id."""
     if not 0 < part <= length:
@@ -269,7 +269,7 @@ def at_documents(edge: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.column_stack([np.sort(np.append(edge[:, 0], cut)), np.sort(np.append(edge[:, 1], cut))])
 
 
-def without_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text: str = "text", part: int = 28, block_bytes: int = 2 << 20) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text: str = "text", part: int = 28, block_bytes: int = 1 << 20) -> DataFrame:
     """One row per row of docs: id_col, n_bytes, n_removed, spans (start and end byte of each maximal removed range), kept (the
     bytes that stay, in order).
 
