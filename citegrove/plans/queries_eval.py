@@ -280,6 +280,11 @@ def normalise_id(spark, sf):
     return d.groupBy("l_orderkey", "l_partkey", "id").agg(F.count("*").alias("n"))
 
 
+@query("number_citations", scored("SELECT doc_id, span_start AS start, 'c' || CAST(row_number() OVER (PARTITION BY doc_id ORDER BY span_start, span_end) AS STRING) AS cit_id FROM base"))
+def number_citations(spark, sf):
+    return S.number_citations(decided(spark, sf)).select("doc_id", F.col("start").cast("bigint").alias("start"), "cit_id")
+
+
 # ------------------------------------------------------------------ round trips through files
 
 # text with quotes, a comma and a line break, or none at all

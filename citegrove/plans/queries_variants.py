@@ -187,6 +187,21 @@ def metamorphic_matrix(spark, sf):
     return E.level_scores(events).select(F.substring_index("level", "|", 1).alias("edit"), F.substring_index("level", "|", -1).cast("bigint").alias("level"), "macro_f1")
 
 
+_LEAD = "Discute-se no "
+
+
+@query("internal_suffix", duck_sentences(
+    f"SELECT doc_id, i, CAST({len(_LEAD)} AS BIGINT) AS span_start, CAST({len(_LEAD)} + length('RE ' || plain_dots || tail) AS BIGINT) AS span_end, classes FROM "
+    "(SELECT *, CASE (k + i) % 3 WHEN 0 THEN '-AgR' WHEN 1 THEN '-ED-AgR' ELSE '-AgR-EDv-AgR' END AS tail, "
+    "CASE (k + i) % 3 WHEN 0 THEN 'AgRg|RE' WHEN 1 THEN 'AgRg|ED|RE' ELSE 'AgRg|EDiv|AgRg|RE' END AS classes FROM sentences)"))
+def internal_suffix(spark, sf):
+    """Appeals inside a case stand after its number; the last one comes first in the class."""
+    s = sentences(spark, sf, "doc_id", "i", "k", "plain_dots")
+    tail = F.element_at(F.array(F.lit("-AgR"), F.lit("-ED-AgR"), F.lit("-AgR-EDv-AgR")), ((F.col("k") + F.col("i")) % 3 + 1).cast("int"))
+    docs = s.select("doc_id", "i", F.concat(F.lit(_LEAD + "RE "), "plain_dots", tail, F.lit(", em pauta.")).alias("text"))
+    return spans_out(X.extract_dockets(docs), F.col("i"), F.array_join("class", "|").alias("classes"))
+
+
 # ------------------------------------------------------------------ stress: every record in a written form
 
 _FORM = "CAST((id - id % 10) / 10 AS BIGINT) % 6"
