@@ -185,8 +185,8 @@ def paths(signed: DataFrame, runs: int, most: int) -> DataFrame:
 
 def runs_for(recall: float, similarity: float) -> int:
     """Runs until a pair at the threshold is met with the wanted probability: one run meets it if a shared token is picked, of
-    which there is one on average at least; a bucket split once more needs that twice."""
-    once = (1 - math.exp(-1)) ** 2
+    which there is one on average at least; a bucket split on all levels needs that LEVELS times."""
+    once = (1 - math.exp(-1)) ** LEVELS
     return math.ceil(math.log(1 - recall) / math.log(1 - once))
 
 

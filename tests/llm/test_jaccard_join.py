@@ -66,3 +66,9 @@ def test_components(spark):
     got = {x.id: x.component for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: label[x] for a, b in edges if a != b for x in (a, b)}
     assert runs_for(0.999, 0.8) > runs_for(0.9, 0.8)
+
+
+def test_runs_meet_pairs_that_are_split_on_all_levels():
+    from citegrove.llm.jaccard_join import LEVELS, runs_for
+    met = 1 - (1 - (1 - np.exp(-1)) ** LEVELS) ** runs_for(0.999, 0.8)
+    assert met >= 0.999 and runs_for(0.999, 0.8) == 24
