@@ -27,7 +27,7 @@ _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
            "option": {"option"}}
 _UNDER = {"ul", "ol", "dl", "table", "select", "article", "section", "div", "body", "main", "nav", "aside", "blockquote", "menu"}
 _PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"}
-# elements and words of class, id or role that mark what is never an article's text
+# elements that are never an article's text, and words of class, id or role that make it less likely
 _ROLES = {"head", "nav", "aside", "footer", "form", "template", "select", "option", "button", "svg", "canvas", "object", "menu",
           "dialog", "datalist", "audio", "video", "map"}
 _WORDS = set("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promoted promotion nav navbar navigation "
@@ -36,16 +36,18 @@ _WORDS = set("ad ads adv advert adverts advertisement advertising banner sponsor
              "pagination toolbar login search complementary contentinfo legal copyright skip".split())
 _PHRASE = re.compile(r"[.!?;:,|•·\n]+\s*")
 _ids: dict[tuple[int, str], int] = {}
-_styles: dict[tuple[str, str], tuple[str, bool]] = {}
+_styles: dict[tuple[str, str], tuple[str, int]] = {}
 ROOT, ALL_HOSTS = 0, 0
+BY_TAG, BY_WORD = 1, 2
 
 
 def number(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def style_of(tag: str, attributes: str) -> tuple[str, bool]:
-    """The style of an element (tag, class, id and role without digits) and whether it names what is no article text."""
+def style_of(tag: str, attributes: str) -> tuple[str, int]:
+    """The style of an element (tag, class, id and role without digits) and what it names: BY_TAG if the element is no article
+    text, BY_WORD if its attributes speak against it, else 0."""
     key = (tag, attributes)
     if key not in _styles:
         if len(_styles) > 50_000:
@@ -53,7 +55,8 @@ def style_of(tag: str, attributes: str) -> tuple[str, bool]:
         found = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _NAMED.finditer(attributes)}
         tokens = {w for v in found.values() for w in re.split(r"[^a-z]+", v) if w}
         style = tag + "".join(f"|{k}={re.sub(r'[0-9]+', '#', ' '.join(sorted(v.split())))}" for k, v in sorted(found.items()) if v)
-        _styles[key] = style, tag in _ROLES or bool(tokens & _WORDS) and tag not in ("html", "body", "article", "main")
+        by_word = BY_WORD if tokens & _WORDS and tag not in ("html", "body", "article", "main") else 0
+        _styles[key] = style, BY_TAG if tag in _ROLES else by_word
     return _styles[key]
 
 
@@ -68,12 +71,12 @@ def child(path: int, style: str) -> int:
 
 def parse(page: str | None):
     """(blocks, elements) of a page. blocks: (path, named, text) in page order, where path numbers the styles from the root
-    and named tells that an enclosing element names boilerplate; text has its references decoded and its white space made
+    and named tells what the enclosing elements name (0, BY_WORD, or BY_TAG if one does); text has its references decoded and its white space made
     single blanks. elements: (path, parent, its children's paths in order, without direct repetition, whether it is a paragraph
-    or heading)."""
-    blocks: list[tuple[int, bool, str]] = []
-    elements: list[tuple[int, int, tuple, bool]] = []
-    stack: list[tuple[str, int, bool, list]] = [("", ROOT, False, [])]
+    or heading, named)."""
+    blocks: list[tuple[int, int, str]] = []
+    elements: list[tuple[int, int, tuple, bool, int]] = []
+    stack: list[tuple[str, int, int, list]] = [("", ROOT, 0, [])]
     words: list[str] = []
 
     def flush():
@@ -83,8 +86,8 @@ def parse(page: str | None):
             blocks.append((stack[-1][1], stack[-1][2], text))
 
     def close():
-        tag, path, _, children = stack.pop()
-        elements.append((path, stack[-1][1], tuple(children), tag in _PROSE))
+        tag, path, named, children = stack.pop()
+        elements.append((path, stack[-1][1], tuple(children), tag in _PROSE, named))
 
     page, at = page or "", 0
     while True:
@@ -131,11 +134,12 @@ def parse(page: str | None):
                     break
         style, named = style_of(tag, attributes)
         if tag == "header" and not any(x[0] in ("article", "main", "section") for x in stack):
-            named = True
+            named = BY_TAG
         path = child(stack[-1][1], style)
         if not stack[-1][3] or stack[-1][3][-1] != path:
             stack[-1][3].append(path)
-        stack.append((tag, path, named or stack[-1][2], []))
+        outer = stack[-1][2]
+        stack.append((tag, path, BY_TAG if BY_TAG in (named, outer) else named or outer, []))
     flush()
     while len(stack) > 1:
         close()
@@ -144,7 +148,7 @@ def parse(page: str | None):
 
 def features(blocks, elements):
     """What a page adds to its tree: (path, parent, kind, feature, weight). Content features of a node are its short phrases or
-    its long blocks whole; its presentation feature is the order of its children's styles."""
+    its long blocks whole; its presentation feature is the order of its children's styles; kind w tells what it is named."""
     found: Counter = Counter()
     size: Counter = Counter()
     for path, _, text in blocks:
@@ -152,9 +156,11 @@ def features(blocks, elements):
         for phrase in (_PHRASE.split(text) if len(text) <= 160 else [text]):
             if phrase.strip():
                 found[path, "c", number(phrase.strip())] += 1
-    parents = {path: parent for path, parent, _, _ in elements}
-    prose = {path for path, _, _, is_prose in elements if is_prose}
-    for path, _, children, _ in elements:
+    parents = {path: parent for path, parent, *_ in elements}
+    prose = {path for path, _, _, is_prose, _ in elements if is_prose}
+    for path, _, children, _, named in elements:
+        if named:
+            found[path, "w", named] = 1
         if children:
             found[path, "s", number(repr(children))] += 1
     for path in {*parents, *size}:
@@ -189,16 +195,17 @@ def tree_counts(pages: DataFrame, url: str, page: str) -> DataFrame:
 
 
 def node_entropies(counts: DataFrame) -> DataFrame:
-    """(host, path, parent, prose, m, size, content, presentation) of every style node. m: its pages; size: characters of its text.
+    """(host, path, parent, prose, named, m, size, content, presentation) of every style node. m: its pages; size: characters of its text.
     A content feature seen on k of m pages has entropy log k / log m; content is one less the mean entropy over all
     occurrences. presentation is the entropy, to base m, of the children's styles."""
     k = F.col("pages")
     node = counts.groupBy("host", "path", "parent").agg(
         F.max(F.when(F.col("kind") == "p", F.col("feature"))).alias("prose"), F.max(F.when(F.col("kind") == "p", k)).alias("m"), F.max(F.when(F.col("kind") == "p", F.col("n"))).alias("size"),
+        F.coalesce(F.max(F.when(F.col("kind") == "w", F.col("feature"))), F.lit(0).cast("long")).alias("named"),
         F.sum(F.when(F.col("kind") == "c", k * F.log(k))).alias("c_log"), F.sum(F.when(F.col("kind") == "c", k)).alias("c"),
         F.sum(F.when(F.col("kind") == "s", F.col("n") * F.log("n"))).alias("s_log"), F.sum(F.when(F.col("kind") == "s", F.col("n"))).alias("s"))
     many = F.col("m") > 1
-    return node.select("host", "path", "parent", "prose", "m", "size",
+    return node.select("host", "path", "parent", "prose", "named", "m", "size",
                        F.when(F.col("c") > 0, F.when(many, 1 - F.col("c_log") / F.col("c") / F.log("m")).otherwise(1.0)).alias("content"),
                        F.when(F.col("s") > 0, F.when(many, (F.log("s") - F.col("s_log") / F.col("s")) / F.log("m")).otherwise(1.0)).alias("presentation"))
 
@@ -209,7 +216,8 @@ def noisy_branches(nodes: pd.DataFrame, threshold: float, decay: float) -> list[
     A node's composite importance mixes its presentation with the weighted importance of its children (and of its own text),
     the presentation by 1 - decay^l for l children. A branch is noise if all its nodes stay under the threshold, but the
     limit never passes three quarters of the best importance among nodes that hold a tenth of the host's text; paragraphs and
-    headings beside such a node that is no noise stay with it."""
+    headings beside such a node that is no noise stay with it. A branch that is named by a word counts in proportion to its share
+    of the host's text, up to one half, and is held to the whole threshold."""
     info = {r.path: r for r in nodes.itertuples()}
     below: dict[int, list[int]] = {}
     for r in info.values():
@@ -220,6 +228,14 @@ def noisy_branches(nodes: pd.DataFrame, threshold: float, decay: float) -> list[
     while depth:
         order.append(depth.pop())
         depth += below.get(order[-1], [])
+    held = {p: r.size for p, r in info.items()}
+    for path in reversed(order):
+        if info[path].parent in held:
+            held[info[path].parent] += held[path]
+    weight: dict[int, float] = {}
+    for path in order:
+        if info[path].named == BY_WORD:
+            weight[path] = weight[info[path].parent] if info[path].parent in weight else min(1.0, 2 * held[path] / max(total, 1))
     composite: dict[int, float] = {}
     noise: dict[int, bool] = {}
     for path in reversed(order):
@@ -229,7 +245,8 @@ def noisy_branches(nodes: pd.DataFrame, threshold: float, decay: float) -> list[
         inner = sum(v * w for v, w in values) / sum(w for _, w in values) if values else 0.0
         composite[path] = (1 - share) * (r.presentation if r.presentation == r.presentation else inner) + share * inner
         own = r.content if r.content == r.content else 0.0
-        noise[path] = all(noise[c] for c in parts) and max(own, composite[path] if parts else own) < limit
+        most = max(own, composite[path] if parts else own)
+        noise[path] = all(noise[c] for c in parts) and (most * weight[path] < threshold if path in weight else most < limit)
     main = {info[p].parent for p, x in noise.items() if not x and info[p].prose and info[p].size * 10 >= total}
     return sorted(p for p, x in noise.items() if x and not (info[p].prose and info[p].parent in main))
 
@@ -252,8 +269,8 @@ def style_trees(pages: DataFrame, url: str = "url", page: str = "html", threshol
 def main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url", page: str = "html", broadcast_hosts: int = 20_000) -> DataFrame:
     """(id_col, url, text) of every row: the text of its main branches.
 
-    Dropped are branches the style tree of the page's host finds noisy and elements that name themselves as menu, header,
-    footer, sidebar, advert, notice, form or comments; scripts, styles and markup are never text. References are decoded,
+    Dropped are branches the style tree of the page's host finds noisy, among them most that a class, id or role names as menu,
+    advert, notice or comments, and elements like nav, header, footer, aside and form; scripts, styles and markup are never text. References are decoded,
     white space within a block is one blank, blocks are joined in page order by one blank. Null or empty html gives an empty
     text; a null url, or one without host, belongs to the host of that kind; repeated rows are read each; an empty table
     gives no rows; other columns are ignored. Trees of at most broadcast_hosts hosts travel to all tasks; more are joined by
@@ -274,7 +291,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url", page:
             noises = None if few else batch.column(3).to_pylist()
             for i, (u, p) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 noise = known.value.get(number("host " + host_of(u)), ()) if few else set(noises[i] or ())
-                texts.append(" ".join(t for path, named, t in parse(p)[0] if not named and path not in noise))
+                texts.append(" ".join(t for path, named, t in parse(p)[0] if named != BY_TAG and path not in noise))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], [id_col, url, "text"])
 
     return rows.mapInArrow(read, f"`{id_col}` {types[id_col]}, `{url}` {types[url]}, text string")

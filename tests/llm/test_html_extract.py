@@ -36,3 +36,11 @@ def test_parts():
     assert host_of("https://u:p@WWW.Site.example:80/a") == "site.example" and host_of(None) == ""
     blocks, _ = parse("<article><header><h1>T</h1></header><p>a<!-- b --><i>c</i>\n d</p></article><header>top</header>")
     assert [(n, t) for _, n, t in blocks] == [(False, "T"), (False, "ac d"), (True, "top")]
+
+
+def test_a_word_in_a_name_does_not_remove_the_article(spark):
+    for place in ('section class="market-share"', 'div id="legal-text"', 'div class="widget-body"'):
+        rows = [(i, f"http://{i % 2}.example/{i}", page(i).replace("<div class=story>", f"<{place}>")
+                 .replace("x</div><div id=comments>", f"x</{place.split()[0]}><div id=comments>")) for i in range(30)]
+        out = main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+        assert {(r.page_id, r.text) for r in out} == {(i, want(i)) for i in range(30)}
