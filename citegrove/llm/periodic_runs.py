@@ -10,66 +10,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citegrove.llm.common import chunks, text_buffers
+from citegrove.llm.common import chunks, text_buffers, word_lists
+from citegrove.llm.suffix_order import dense, refined
 
-SORTED_ALONE = 1 << 21
 
-
-def word_lists(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """All words of the rows, one after the other, and the place of each row's first word (and the end). A word is a run of
-    bytes other than ASCII white space; null has none."""
-    lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
-    flat = lists.flatten()
-    solid = np.asarray(pc.greater(pc.binary_length(flat), 0))
-    bounds = np.concatenate([[0], np.cumsum(solid)])[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
-    return flat.filter(pa.array(solid)), bounds.astype(np.int64)
-
-
-def suffix_ranks(word: np.ndarray, row: np.ndarray, end: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Prefix doubling: level k of the first result holds the rank of each suffix by its first 2^k words (ranks are equal only
-    where these words are, within one row); the second one lists, in order of the last ranks, the suffixes that share four words
-    with another one of their row. Only suffixes whose rank is shared are sorted again."""
-    n = len(word)
-    rank = np.append(dense(row.astype(np.uint64), word.astype(np.uint64), n), -1)
-    levels, length = [rank], 1
-    count = np.bincount(rank[:-1], minlength=n)
-    open_ = np.flatnonzero(count[rank[:-1]] > 1)
-    shared = open_
-    while len(open_):
-        old = rank[open_]
-        beyond = open_ + length
-        following = np.where(beyond < end[open_], rank[np.minimum(beyond, n)] + 1, 0)
-        if n < SORTED_ALONE:
-            key = np.sort((old.astype(np.uint64) << np.uint64(42)) | (following.astype(np.uint64) << np.uint64(21)) | np.arange(len(open_), dtype=np.uint64))
-            order = (key & np.uint64(SORTED_ALONE - 1)).astype(np.int64)
-        else:
-            order = np.lexsort((following, old))
-        old, following = old[order], following[order]
-        head = np.append(True, old[1:] != old[:-1])
-        new = head.copy()
-        new[1:] |= following[1:] != following[:-1]
-        at = np.arange(len(order))
-        first = np.maximum.accumulate(np.where(head, at, 0))
-        group = np.maximum.accumulate(np.where(new, at, 0))
-        rank = rank.copy()
-        rank[open_[order]] = old + group - first
-        single = np.diff(np.append(np.flatnonzero(new), len(order))) == 1
-        open_ = np.sort(open_[order][~single[np.cumsum(new) - 1]])
+def suffix_levels(word: np.ndarray, row: np.ndarray, end: np.ndarray, least: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The ranks of the suffixes by 1, 2, 4, ... words (level k: equal only where 2^k words are, within one row) and, in order of
+    the last ranks, the suffixes that can share `least` words with another one of their row."""
+    levels, shared = [], np.arange(len(word))
+    for rank, open_ in refined(dense(row, word), end):
         levels.append(rank)
-        length *= 2
-        if length == 4:
+        if 1 << (len(levels) - 1) <= least:
             shared = open_
-    return levels, shared[np.argsort(rank[shared], kind="stable")]
-
-
-def dense(major: np.ndarray, minor: np.ndarray, n: int) -> np.ndarray:
-    """Ranks of (major, minor): the number of smaller pairs."""
-    order = np.lexsort((minor, major))
-    new = np.ones(n, bool)
-    new[1:] = (major[order][1:] != major[order][:-1]) | (minor[order][1:] != minor[order][:-1])
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    return rank
+    return levels, shared[np.argsort(levels[-1][shared], kind="stable")]
 
 
 def shared_words(levels: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -153,7 +106,7 @@ def runs_of(word: np.ndarray, bounds: np.ndarray, min_length: int, min_exponent:
         return np.zeros((0, 3), np.int64)
     size = np.diff(bounds)
     row = np.repeat(np.arange(len(size)), size)
-    levels, order = suffix_ranks(word, row, np.repeat(bounds[1:], size)) if least >= 4 else whole_order(word, row, bounds, size)
+    levels, order = suffix_levels(word, row, np.repeat(bounds[1:], size), least)
     if not len(order):
         return np.zeros((0, 3), np.int64)
     lcp = np.append(0, shared_words(levels, order[:-1], order[1:]))
@@ -167,11 +120,6 @@ def runs_of(word: np.ndarray, bounds: np.ndarray, min_length: int, min_exponent:
     return runs[np.lexsort((runs[:, 2], runs[:, 0]))]
 
 
-def whole_order(word, row, bounds, size):
-    levels, _ = suffix_ranks(word, row, np.repeat(bounds[1:], size))
-    return levels, np.argsort(levels[-1][:-1], kind="stable")
-
-
 def periodic_runs(docs: DataFrame, min_length: int = 6, min_exponent: int = 4, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: id_col, n_words, runs (start, length, period of every run, by start, then period; places are word
     numbers from 0) and collapsed (the words that no run holds after its first period, joined by one space).
