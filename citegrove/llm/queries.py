@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegrove.llm import decontaminate, exact_dedup, fuzzy_passages, html_extract, jaccard_join, language_id, mixing, packing, periodic_runs, quality, suffix_dedup, topk_search
+from citegrove.llm import collocations, decontaminate, exact_dedup, fuzzy_passages, html_extract, jaccard_join, language_id, mixing, packing, periodic_runs, quality, suffix_dedup, topk_search
 from citegrove.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,26 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
   sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN n USING (r) LEFT JOIN t USING (r)
 """
+
+
+@query
+def op11_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_collocations"] = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, m, phrase, count(*) AS f FROM (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i : i + m - 1], ' '))) AS phrase
+    FROM w, (VALUES (1), (2), (3)) AS s(m) WHERE len(w) >= m) GROUP BY lang, m, phrase HAVING count(*) >= 10),
+k AS (SELECT lang, phrase, m, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS k FROM g WHERE m > 1),
+c AS (SELECT k.lang, k.phrase, k.m, k.w, k.a, k.k, l.f AS l, r.f AS r, CAST(CAST(1000000 AS HUGEINT) * k.a * k.a // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM k JOIN g AS l ON l.lang = k.lang AND l.phrase = array_to_string(k.w[: k.k], ' ') JOIN g AS r ON r.lang = k.lang AND r.phrase = array_to_string(k.w[k.k + 1 :], ' ')),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM c) WHERE o = 1),
+h AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, array_to_string(w[i : i + 1], ' ') AS phrase FROM b, (VALUES (1), (2)) AS s(i) WHERE m = 3) GROUP BY lang, phrase),
+x AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b LEFT JOIN h USING (lang, phrase)
+  WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM x JOIN t USING (lang) WHERE rank <= 2000
+"""
