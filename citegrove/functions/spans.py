@@ -16,17 +16,16 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), lambda v: body(v))[0]
 
 
-WHOLE, AFTER_CONTEXT = _OPEN + "$0" + _CLOSE, "$1" + _OPEN + "$2$3" + _CLOSE
+WHOLE = _OPEN + "$0" + _CLOSE
 
 
-def match_spans(text: Column, pattern: str, marks: str = WHOLE) -> Column:
-    """array<struct<start, end, match>> of all matches, half-open code-point offsets; NULL without a match.  With
-    AFTER_CONTEXT, group 1 of the pattern is read but no part of the match, which is group 2 or 3.
+def match_spans(text: Column, pattern: str) -> Column:
+    """array<struct<start, end, match>> of all matches, half-open code-point offsets; NULL without a match.
 
     Lengths are added up in two levels (within blocks of 256 pieces, then over blocks), so the work stays close
     to linear in the number of matches of a text."""
     safe = F.translate(text, _OPEN + _CLOSE, _OTHER + _OTHER)
-    marked = F.split(F.regexp_replace(safe, pattern, marks), _OPEN)
+    marked = F.split(F.regexp_replace(safe, pattern, WHOLE), _OPEN)
     return let(marked, _positions)
 
 

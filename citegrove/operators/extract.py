@@ -1,6 +1,7 @@
 """Citation detectors: documents in, span rows out.
 
-A detector is a pattern and a function from one match (with the text beside it) to the spans it stands for.  Matches
+A detector is a way to find matches (a pattern, or a scan) and a function from one match (with the text beside it) to the spans
+it stands for.  Matches
 of all detectors are marked within the row, exploded once and read from bounded windows, so a scan of the documents
 is enough for any number of detectors and texts never leave the map side: only span rows are shuffled, to settle
 overlaps.
@@ -15,7 +16,8 @@ from citegrove.functions.classes import canonical_class, known_acronyms
 from citegrove.functions.courts import court_code
 from citegrove.functions.dockets import canonical_docket, is_cnj, repair_digits
 from citegrove.functions.laws import law_code_from_name, law_code_from_number, read_law
-from citegrove.functions.spans import AFTER_CONTEXT, WHOLE, left_of, let, match_spans
+from citegrove.functions.numbers import numbers
+from citegrove.functions.spans import left_of, let, match_spans
 from citegrove.functions.text import fold_same_length, noise_flag
 from citegrove.operators import patterns as P
 from citegrove.operators.overlaps import resolve_overlaps
@@ -28,16 +30,20 @@ _FIELDS = {"kind": "string", "start": "int", "end": "int", "number": "string", "
            "noisy": "boolean"}
 
 
+_ITEMS = "array<struct<start:int,end:int,run:string,suffix:string,uf:string>>"
+
+
 @dataclass(frozen=True)
 class Detector:
-    """`spans(m)` reads a match m (start, end, match, left, right) into an array of spans, or NULL."""
+    """`spans(m)` reads a match m (start, end, match, left, right, items) into an array of spans, or NULL.  Matches are those of a pattern,
+    or what `find(text)` returns: (start, end, items)."""
     name: str
     order: int
-    pattern: str
+    pattern: str | None
     spans: Callable[[Column], Column]
     left: int = 0
     right: int = 0
-    marks: str = WHOLE
+    find: Callable[[Column], Column] | None = None
 
 
 def _span(snippet: Column, **columns: Column) -> Column:
@@ -59,14 +65,16 @@ def _found(detectors: tuple[Detector, ...], text: str, maps: bool = False) -> Co
         def stretch(name: str, m: Column) -> Column:
             first = F.greatest(m["start"] - d.left, F.lit(0))
             return F.slice(F.col(name), first + 1, m["end"] + d.right - first)
-        return F.transform(match_spans(F.col(text), d.pattern, d.marks), lambda m: F.struct(
-            F.lit(i).alias("d"), m["start"].alias("start"), m["end"].alias("end"), m["match"].alias("match"),
+        matches = d.find(F.col(text)) if d.find else match_spans(F.col(text), d.pattern)
+        return F.transform(matches, lambda m: F.struct(
+            F.lit(i).alias("d"), m["start"].alias("start"), m["end"].alias("end"), (F.lit("") if d.find else m["match"]).alias("match"),
+            (m["items"] if d.find else F.lit(None)).cast(_ITEMS).alias("items"),
             (left_of(F.col(text), m["start"], d.left) if d.left else F.lit("")).alias("left"),
             (F.substring(F.col(text), m["end"] + 1, F.lit(d.right)) if d.right else F.lit("")).alias("right"),
             *([F.greatest(m["start"] - d.left, F.lit(0)).alias("base"), stretch("map_start", m).alias("map_start"),
                stretch("map_end", m).alias("map_end")] if maps else [])))
     more = ",base:int,map_start:array<int>,map_end:array<int>" if maps else ""
-    none = F.array().cast(f"array<struct<d:int,start:int,end:int,match:string,left:string,right:string{more}>>")
+    none = F.array().cast(f"array<struct<d:int,start:int,end:int,match:string,items:{_ITEMS},left:string,right:string{more}>>")
     return F.concat(*[F.coalesce(found(i, d), none) for i, d in enumerate(detectors)])
 
 
@@ -116,7 +124,7 @@ def run_detectors(docs: DataFrame, detectors: list[Detector], text: str = "text"
 def scan_numbers(docs: DataFrame, text: str = "text") -> DataFrame:
     """Every number of a text, tolerating OCR letters, spaces and line breaks: doc columns + start, end, number_text."""
     keep = [c for c in docs.columns if c != text]
-    return (docs.select(*keep, F.explode(match_spans(F.col(text), P.NUMBERS, AFTER_CONTEXT)).alias("m"))
+    return (docs.select(*keep, F.explode(numbers(F.col(text))).alias("m"))
             .select(*keep, "m.start", "m.end", F.col("m.match").alias("number_text")))
 
 
@@ -165,16 +173,34 @@ def anchor_class(left: Column) -> Column:
     return let(let(_first_read(_suffixes(known_run(left)), _is_class_text), trim), accept)
 
 
-def _docket_items(match: Column) -> Column:
-    """The numbers of a match ('1.741.784/PR e 1.996.496/RJ' has two)."""
-    rx = P.DOCKET_ITEM
+def docket_chains(text: Column) -> Column:
+    """array<struct<start, end, items>>: numbers of a text with the internal appeals and the state after them; numbers that only an 'e' links are one
+    chain ('1.741.784/PR e 1.996.496/RJ').  Numbers that stand after a break sign, where no class can be, are left out."""
+    def with_tail(n: Column) -> Column:
+        suffix = F.regexp_extract(n["tail"], "^" + P.INTERNAL_SUFFIX, 0)
+        return let(suffix, lambda x: let(F.regexp_extract(F.substring(n["tail"], F.length(x) + 1, F.length(n["tail"])), "(?U)^" + P.UF_RIGHT, 0), lambda uf: F.struct(
+            n["start"].alias("start"), (n["end"] + F.length(x) + F.length(uf)).alias("end"), n["match"].alias("run"), x.alias("suffix"),
+            _group(uf, "([A-Z]{2})", 1).alias("uf"), (F.length(x) + F.length(uf)).alias("used"), n["end"].alias("stop"), n["lead"].alias("lead"),
+            n["tail"].alias("tail"), n["first"].alias("first"), n["apart"].alias("apart"))))
+
+    def linked(items: Column, i: Column) -> Column:
+        last, this = items[i - 1], items[i]
+        between = F.when(this["first"], F.concat(last["tail"], this["lead"])).otherwise(this["lead"])
+        return (i > 0) & (F.length(between) == this["start"] - last["stop"]) & F.substring(between, last["used"] + 1, F.length(between)).rlike(P.LINK)
+
+    def grouped(items: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(0), F.size(items) - 1), lambda i: ~linked(items, i))
+
+        def chain(heads: Column) -> Column:
+            return F.transform(heads, lambda h, k: F.slice(items, h + 1, F.coalesce(F.get(heads, k + 1), F.size(items)) - h))
+        return F.transform(F.filter(let(heads, chain), lambda c: ~c[0]["apart"]), lambda c: F.struct(c[0]["start"].alias("start"), F.element_at(c, -1)["end"].alias("end"),
+            F.transform(c, lambda x: F.struct((x["start"] - c[0]["start"]).alias("start"), (x["end"] - c[0]["start"]).alias("end"), x["run"].alias("run"),
+                                              x["suffix"].alias("suffix"), x["uf"].alias("uf"))).alias("items")))
+    return let(F.transform(numbers(text), with_tail), lambda items: F.when(F.size(items) > 0, grouped(items)))
+
 
-    def item(m: Column) -> Column:
-        return F.struct(m["start"].alias("start"), m["end"].alias("end"),
-                        F.regexp_extract(m["match"], rx, 1).alias("run"),
-                        F.regexp_extract(m["match"], rx, 2).alias("suffix"),
-                        _group(F.regexp_extract(m["match"], rx, 3), "([A-Z]{2})", 1).alias("uf"))
-    return F.transform(F.transform(match_spans(match, P.DOCKET_ITEMS, AFTER_CONTEXT), item), lambda x: F.struct(
+def _docket_items(items: Column) -> Column:
+    return F.transform(items, lambda x: F.struct(
         x["start"].alias("start"), x["end"].alias("end"), x["run"].alias("run"), x["suffix"].alias("suffix"),
         x["uf"].alias("uf"), canonical_docket(x["run"]).alias("number"), repair_digits(x["run"]).alias("digits")))
 
@@ -210,7 +236,7 @@ def _docket_spans(m: Column) -> Column:
         return F.when(~_refused(a["text"], items[0], m["right"]), rows)
 
     def with_items(a: Column) -> Column:
-        pair = F.struct(a.alias("a"), _docket_items(m["match"]).alias("items"))
+        pair = F.struct(a.alias("a"), _docket_items(m["items"]).alias("items"))
         return F.when(a["text"].isNotNull(), let(pair, spans))
     return let(anchor_class(m["left"]), with_items)
 
@@ -342,7 +368,7 @@ SUMULA = Detector("sumula", 2, P.SUMULA, _sumula_spans)
 THEME = Detector("theme", 3, P.THEME, _theme_spans)
 ARTICLE = Detector("article", 4, P.ARTICLE, _article_spans, right=LAW_WINDOW)
 ARTICLE_INVERSE = Detector("article_inverse", 5, P.ARTICLE_INVERSE, _inverse_article_spans)
-DOCKET = Detector("docket", 6, P.DOCKET_CHAIN, _docket_spans, left=CLASS_WINDOW, right=4, marks=AFTER_CONTEXT)
+DOCKET = Detector("docket", 6, None, _docket_spans, left=CLASS_WINDOW, right=4, find=docket_chains)
 DETECTORS = [INCOMPLETE, SUMULAS, SUMULA, THEME, ARTICLE, ARTICLE_INVERSE, DOCKET]
 
 
