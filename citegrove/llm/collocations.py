@@ -111,11 +111,12 @@ class Block:
         data = np.frombuffer(zstandard.decompress(body), np.uint8)
         self.lang = lang
         self.start, end = word_edges(data)
-        self.piece = np.searchsorted(np.flatnonzero(data == 10), self.start)
+        self.piece = np.searchsorted(np.flatnonzero(data == 10), self.start).astype(np.int32)
         offsets = np.append(0, np.cumsum(end - self.start))
         letters = pa.py_buffer(data[(data != 32) & (data != 10)].tobytes())
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(end), [None, pa.py_buffer(pack(offsets)), letters]).dictionary_encode()
-        self.words, self.ids = words.dictionary, words.indices.to_numpy().astype(np.int64)
+        self.words, self.ids = words.dictionary, words.indices.to_numpy()
+        self.start = self.start.astype(np.uint32)
 
     @cached_property
     def prefixes(self) -> list[np.ndarray]:
@@ -129,17 +130,17 @@ class Block:
 
     def single(self) -> Grams:
         count = np.bincount(self.ids, minlength=len(self.words))
-        first = np.empty(len(self.words), np.int64)
-        first[self.ids[::-1]] = np.arange(len(self.ids))[::-1]
+        first = np.empty(len(self.words), np.int32)
+        first[self.ids[::-1]] = np.arange(len(self.ids), dtype=np.int32)[::-1]
         return Grams(self.ids, first, count)
 
     def longer(self, n: int, before: Grams, use: np.ndarray | None = None) -> Grams:
         """The n-grams of all places (or of those in use), from the groups of (n-1)-grams: exact, by numbers."""
         size = max(0, len(self.ids) - n + 1)
         fits = self.piece[:size] == self.piece[n - 1:][:size]
-        place = np.flatnonzero(fits if use is None else fits & use[:size])
+        place = np.flatnonzero(fits if use is None else fits & use[:size]).astype(np.int32)
         prev, last = before.group[place], self.ids[place + n - 1]
-        group = np.full(len(self.ids), -1, np.int64)
+        group = np.full(len(self.ids), -1, np.int32)
         if not len(place):
             return Grams(group, place, place)
         if len(self.ids) < 1 << 21:
@@ -244,7 +245,7 @@ def frequent_grams(blocks: DataFrame, answers: DataFrame, most: int, least: int,
             key, first, count = key[by], first[by], count[by]
             check = (block.fingerprints(first, n, True) >> np.uint64(32)).astype(np.uint32)
             rows += [(bucket, lang, n, number, packed(key[at], True), pack(check[at]), packed(count[at].astype(np.uint32)),
-                      pack(block.start[first[at]].astype(np.uint32))) for bucket, at in by_bucket(key, bits)]
+                      packed(block.start[first[at]])) for bucket, at in by_bucket(key, bits)]
         columns = list(zip(*rows, strict=True)) or [()] * len(ENTRY)
         return pa.table([pa.array(c, kind) for c, (_, kind) in zip(columns, ENTRY, strict=True)], names=[name for name, _ in ENTRY])
 
@@ -252,7 +253,8 @@ def frequent_grams(blocks: DataFrame, answers: DataFrame, most: int, least: int,
         keys = [unpacked(x, np.uint64, True) for x in rows["keys"].to_pylist()]
         of = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
         key = np.concatenate(keys)
-        check, place = (np.frombuffer(b"".join(rows[c].to_pylist()), np.uint32) for c in ("checks", "places"))
+        check = np.frombuffer(b"".join(rows["checks"].to_pylist()), np.uint32)
+        place = np.concatenate([unpacked(x, np.uint32) for x in rows["places"].to_pylist()])
         count = np.concatenate([unpacked(x, np.uint32) for x in rows["counts"].to_pylist()]).astype(np.int64)
         order = np.argsort(key, kind="stable")
         same = key[order][1:] == key[order][:-1]
