@@ -263,6 +263,9 @@ def frequent_grams(blocks: DataFrame, answers: DataFrame, most: int, least: int,
             same = (key[order][1:] == key[order][:-1]) & (check[order][1:] == check[order][:-1])
         at = np.flatnonzero(np.append(True, ~same))
         total = np.add.reduceat(count[order], at)
+        size = np.diff(np.append(at, len(order)))
+        # the occurrence of a holder picked by the fingerprint: no block is asked for more phrases than others
+        at += (key[order[at]] % size.astype(np.uint64)).astype(np.int64)
         at, total = order[at[total >= least]], total[total >= least]
         row = of[at]
         return pa.table({"lang": rows["lang"].take(pa.array(row)), "n": rows["n"].take(pa.array(row)), "fingerprint": pa.array(key[at].view(np.int64)),
