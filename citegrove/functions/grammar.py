@@ -1,5 +1,8 @@
 """Parts of text rules (Java regex).  What repeats is possessive: the regex engine runs such a group as a loop, so a list of
 any length takes no stack."""
+import re
+import unicodedata
+
 from citegrove.rules import OCR_CONFUSIONS
 
 
@@ -20,13 +23,23 @@ def some(*parts: str) -> str:
 
 
 def damaged(words: str) -> str:
-    """Rule for lower-case words that tolerates OCR damage and missing accents (use with `(?iu)`)."""
+    """Rule for words that tolerates OCR damage and accents that come and go (use with `(?iu)`)."""
     def letter(c: str) -> str:
-        looks = OCR_CONFUSIONS.get(c, "")
-        pairs = [x for x in looks.split() if len(x) > 1]
-        single = c + "".join(x for x in looks.split() if len(x) == 1)
-        return one_of(c, *pairs) if pairs else f"[{single}]" if len(single) > 1 else c
-    return r"\s++".join("".join(map(letter, word)) for word in words.split())
+        looks = OCR_CONFUSIONS.get(c, [])
+        if all(len(x) == 1 for x in looks):
+            return f"[{c}{''.join(looks)}]" if looks else re.escape(c)
+        return one_of(c, *looks)
+    return r"\s++".join("".join(map(letter, plain(word))) for word in words.split())
+
+
+def plain(word: str) -> str:
+    """Without accents, but with the cedilla that scans turn into c."""
+    return "".join(c if c == "ç" else unicodedata.normalize("NFD", c)[0] for c in word)
+
+
+def any_word(words: list[str]) -> str:
+    """One of some words with their damage, longer ones first."""
+    return one_of(*[damaged(w) for w in sorted(words, key=len, reverse=True)])
 
 
 SPACE, GAP = r"\s*+", r"\s++"

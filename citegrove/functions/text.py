@@ -48,19 +48,15 @@ def collapse_spaces(col: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(col, "(?U)\\s+", " "), "^ | $", "")
 
 
-# what scanning does to a citation, sign by sign
-_ANY_LETTER, _NO_ORDINAL = r"[\p{L}&&[^ªº]]", r"[\p{L}&&[^oaªº]]"
-NOISE_SIGNS = {
-    "broken line": r"\n",
-    "blank between digits": r"\d\s++\d",
-    "blank after a link": r"\d\s*+[.\-]\s++\d",
-    "two links": r"\d[.\-]\s*+[.\-]",
-    "letter after a digit": rf"(?<=\d){_NO_ORDINAL}",
-    "letter before a digit": rf"{_ANY_LETTER}(?=\d)",
-    "group of letters read as digits": r"\b[OlLISBGZ5]{1,3}+\.?+\s++\d",
-}
-NOISE = "(?U)" + "|".join(NOISE_SIGNS.values())
+# Shape of a snippet, sign by sign: 9 digit (5 stays, it may be an S), l capital or l that looks like a digit, v small a or o (they follow numbers as
+# ordinals), x other letter, - dot or hyphen, one blank for white space, _ anything else.  Scanning leaves these shapes:
+_SHAPE_OF = [("[0-46-9]", "9"), ("[OlLISBGZ]", "l"), (r"[ao]", "v"), (r"[\p{L}&&[^lvªº]]", "x"), (r"[.\-]", "-"), (r"\s++", " "), (r"[^95lvx\- ]", "_")]
+NOISE_SHAPES = ["[95] [95]", "[95] ?- [95]", "[95]- ?-", "[95][lx]", "[lvx][95]", "(?<![95lvx_])[l5]{1,3}-? [95]"]
 
 
 def noise_flag(col: Column) -> Column:
-    return col.rlike(NOISE)
+    """Whether a snippet shows a broken line, blanks or doubled links within a number, or letters among its digits."""
+    shape = col
+    for signs, kind in _SHAPE_OF:
+        shape = F.regexp_replace(shape, "(?U)" + signs, kind)
+    return F.contains(col, F.lit("\n")) | shape.rlike("|".join(NOISE_SHAPES))

@@ -263,7 +263,7 @@ def _court_of(text: Column) -> Column:
 def _plural_spans(m: Column) -> Column:
     """'Súmulas 5, 7 e 83/STJ': one span per number; the first starts at the head, the last ends at the court."""
     lead = F.length(F.regexp_extract(m["match"], P.SUMULAS, 1))
-    court = _court_of(_group(m["match"], P.SUMULAS, 3))
+    court = _court_of(_group(m["match"], P.COURT_AT_END, 1))
 
     def place(x: Column) -> Column:
         nums = x["nums"]
@@ -279,14 +279,14 @@ def _plural_spans(m: Column) -> Column:
 
 
 def _sumula_spans(m: Column) -> Column:
-    g = {i: _group(m["match"], P.SUMULA, i) for i in range(1, 8)}
-    read = F.struct(F.lower(g[1]).alias("head"), (g[2].isNotNull() | g[3].isNotNull() | g[6].isNotNull()).alias("binding"),
-                    g[4].alias("n"), g[5].alias("of_sumula"), g[7].alias("court"))
+    """Head, binding, number and court of one match; a heading that other bodies use too counts with a court or 'da Súmula' only."""
+    read = F.struct(F.lower(F.regexp_extract(m["match"], P.SUMULA_HEAD, 1)).alias("head"), m["match"].rlike(P.SUMULA_BINDING).alias("binding"),
+                    F.regexp_extract(m["match"], P.SUMULA, 1).alias("n"), m["match"].rlike(P.SUMULA_OF).alias("of_sumula"),
+                    _court_of(_group(m["match"], P.COURT_AT_END, 1)).alias("named"))
 
     def span(x: Column) -> Column:
-        court = F.coalesce(_court_of(x["court"]), F.when(x["binding"], F.lit("STF")))
-        loose = (F.coalesce(x["head"], F.lit("")).isin("enunciado", "verbete") & x["of_sumula"].isNull()
-                 & x["court"].isNull())
+        court = F.coalesce(x["named"], F.when(x["binding"], F.lit("STF")))
+        loose = x["head"].isin("enunciado", "verbete") & ~x["of_sumula"] & x["named"].isNull()
         return F.when(~loose, F.array(_span(
             m["match"], kind=F.lit("sumula"), start=m["start"], end=m["end"], court=court,
             norm_key=sumula_key(court, x["binding"], plain_int(x["n"])))))
@@ -342,8 +342,7 @@ def _incomplete_spans(m: Column) -> Column:
         def with_middle(w: Column) -> Column:
             middle = F.when(before, F.regexp_extract(w, P.MIDDLE_YEAR, 0)) \
                 .otherwise(F.regexp_extract(w, P.MIDDLE_RAPPORTEUR, 0))
-            court = F.when(before, F.coalesce(_group(w, P.MIDDLE_YEAR, 1), _group(w, P.MIDDLE_YEAR, 2))) \
-                .otherwise(_group(w, P.MIDDLE_RAPPORTEUR, 1))
+            court = _group(middle, P.COURT_INSIDE, 1)
 
             def with_head(k: Column) -> Column:
                 head = _decision_head(F.substring(w, F.lit(1), F.length(w) - F.length(k["middle"])))

@@ -29,7 +29,16 @@ OCR_LETTERS = "OoQDlLIi|!SsgqGbBZz"
 OCR_LETTER_DIGITS = "0000111111559966822"
 
 # How scanned texts show a lower-case letter of running text, and accents that come and go.
-OCR_CONFUSIONS = {"a": "á à â ã", "e": "é ê c", "i": "í l 1", "o": "ó ô õ 0", "u": "ú", "l": "1 I |", "s": "5 $", "m": "rn", "ç": "c"}
+OCR_CONFUSIONS = {"a": ["á", "à", "â", "ã"], "e": ["é", "ê", "c"], "i": ["í", "l", "1"], "o": ["ó", "ô", "õ", "0"], "u": ["ú"],
+                  "l": ["1", "I", "|"], "s": ["5", "$"], "m": ["rn"], "ç": ["c"]}
+
+# Words that citations are made of.
+SUMULA_HEADS = ["súmula", "súm", "verbete", "enunciado"]
+SUMULA_HEADS_PLURAL = ["súmulas", "enunciados", "verbetes"]
+SUMULA_QUALIFIERS = ["vinculante", "dominante"]
+COURT_HONOURS = ["c.", "e.", "egrégio", "colendo"]
+THEME_SUBJECTS = ["repercussão geral", "recurso repetitivo", "recursos repetitivos"]
+DECISION_HEADS = ["julgado", "julgada", "precedente", "acórdão", "aresto", "decisão", "voto"]
 
 # OCR swaps undone inside words, in the order they are tried (seen, meant).
 WORD_SWAPS = [("0", "O"), ("5", "S"), ("1", "L"), ("1", "I"), ("L", "I"), ("I", "L"), ("C", "E"), ("RN", "M")]
