@@ -60,7 +60,7 @@ def _group(text: Column, pattern: str, i: int) -> Column:
 @per_session
 def _found(detectors: tuple[Detector, ...], text: str, maps: bool = False) -> Column:
     """Matches of the detectors in a text column, with the place in the list and the windows each asked for; with maps, the
-    stretch of the offset maps that spans of the match can reach (`base` is where it starts)."""
+    stretch of the offset maps that spans of the match can reach (`_base` is where it starts)."""
     def found(i: int, d: Detector) -> Column:
         def stretch(name: str, m: Column) -> Column:
             first = F.greatest(m["start"] - d.left, F.lit(0))
@@ -71,9 +71,9 @@ def _found(detectors: tuple[Detector, ...], text: str, maps: bool = False) -> Co
             (m["items"] if d.find else F.lit(None)).cast(_ITEMS).alias("items"),
             (left_of(F.col(text), m["start"], d.left) if d.left else F.lit("")).alias("left"),
             (F.substring(F.col(text), m["end"] + 1, F.lit(d.right)) if d.right else F.lit("")).alias("right"),
-            *([F.greatest(m["start"] - d.left, F.lit(0)).alias("base"), stretch("map_start", m).alias("map_start"),
+            *([F.greatest(m["start"] - d.left, F.lit(0)).alias("_base"), stretch("map_start", m).alias("map_start"),
                stretch("map_end", m).alias("map_end")] if maps else [])))
-    more = ",base:int,map_start:array<int>,map_end:array<int>" if maps else ""
+    more = ",_base:int,map_start:array<int>,map_end:array<int>" if maps else ""
     none = F.array().cast(f"array<struct<d:int,start:int,end:int,match:string,items:{_ITEMS},left:string,right:string{more}>>")
     return F.concat(*[F.coalesce(found(i, d), none) for i, d in enumerate(detectors)])
 
@@ -109,14 +109,14 @@ def run_detectors(docs: DataFrame, detectors: list[Detector], text: str = "text"
     rows = docs.select(*keep, F.explode(_found(tuple(detectors), text, maps)).alias("_m"))
     order = F.expr("array(" + ", ".join(str(d.order) for d in detectors) + ")")
     spans = (rows.select(*keep, order[F.col("_m.d")].alias("detector"), F.explode(_read(tuple(detectors), "_m")).alias("s"),
-                         *(["_m.base", "_m.map_start", "_m.map_end"] if maps else []))
-             .select(*keep, "detector", "s.*", *(["base", "map_start", "map_end"] if maps else [])))
+                         *(["_m._base", "_m.map_start", "_m.map_end"] if maps else []))
+             .select(*keep, "detector", "s.*", *(["_base", "map_start", "map_end"] if maps else [])))
     if not maps:
         return spans
     return (spans.withColumn("start", F.when(F.col("map_start").isNull(), F.col("start")).otherwise(
-                source_start(F.col("start") - F.col("base"), F.col("map_start"))))
+                source_start(F.col("start") - F.col("_base"), F.col("map_start"))))
             .withColumn("end", F.when(F.col("map_end").isNull(), F.col("end")).otherwise(
-                source_end(F.col("end") - F.col("base"), F.col("map_end")))).drop("base", "map_start", "map_end"))
+                source_end(F.col("end") - F.col("_base"), F.col("map_end")))).drop("_base", "map_start", "map_end"))
 
 
 # ------------------------------------------------------------------ numbers and classes

@@ -181,6 +181,36 @@ def scan_numbers(spark, sf):
                                     F.col("end").cast("bigint").alias("span_end"))
 
 
+# documents with a table of numbers and loose letters behind their own text; the first document of each language has long ones
+_TABLE_SIZES = "WITH d AS (SELECT doc_id, text, CASE WHEN doc_id IN (SELECT min(doc_id) FROM {documents} GROUP BY lang) THEN 10000 ELSE 3 + doc_id % 20 END AS n FROM {documents})"
+_FIRST, _LAST, _DIRT = "REsp 1.741.784/PR", "RE 1.492.256", ". Dito "
+_TABLE, _HEAD = "Tabela: ", f"Consta o {_FIRST} desta lista: "
+
+
+def _with_table(spark, sf, head: str) -> DataFrame:
+    """doc_id, base (where the table's text begins), text."""
+    d = C.run_sql(spark, sf, _TABLE_SIZES + " SELECT doc_id, coalesce(text, '') AS text, n FROM d", "documents")
+    table = F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: (j + 10_000).cast("string")), "; ")
+    text = F.concat("text", F.lit("\n\n" + head), table, F.lit(_DIRT), F.expr("repeat('l. ', CAST(5 * n AS INT))"), F.lit("fim. Veja o " + _LAST + "."))
+    return d.select("doc_id", F.length("text").alias("base"), text.alias("text"))
+
+
+@query("scan_numbers_long", _TABLE_SIZES.format(documents="documents") + f" SELECT doc_id, {2 + len(_TABLE)} + 7 * j AS span_start, {7 + len(_TABLE)} + 7 * j AS span_end FROM (SELECT doc_id, unnest(range(0, n)) AS j FROM d) "
+       f"UNION ALL SELECT doc_id, {len(_TABLE)} + 7 * n + {len(_DIRT)} + 15 * n + 15, {len(_TABLE)} + 7 * n + {len(_DIRT)} + 15 * n + 24 FROM d")
+def scan_numbers_long(spark, sf):
+    """Tables of up to 10,000 numbers and 50,000 loose letters; places are counted from the end of the document's own text."""
+    found = X.scan_numbers(_with_table(spark, sf, _TABLE)).filter("start >= base")
+    return found.select("doc_id", (F.col("start") - F.col("base")).cast("bigint").alias("span_start"), (F.col("end") - F.col("base")).cast("bigint").alias("span_end"))
+
+
+@query("extract_all_long", _TABLE_SIZES.format(documents="documents") + f" SELECT doc_id, {2 + _HEAD.index(_FIRST)} AS span_start, {2 + _HEAD.index(_FIRST) + len(_FIRST)} AS span_end, 'acordao' AS kind, '1741784' AS number FROM d "
+       f"UNION ALL SELECT doc_id, {len(_HEAD)} + 7 * n + {len(_DIRT)} + 15 * n + 12, {len(_HEAD)} + 7 * n + {len(_DIRT)} + 15 * n + {12 + len(_LAST)}, 'acordao', '1492256' FROM d")
+def extract_all_long(spark, sf):
+    found = X.extract_all(_with_table(spark, sf, _HEAD)).filter("start >= base")
+    return found.select("doc_id", (F.col("start") - F.col("base")).cast("bigint").alias("span_start"), (F.col("end") - F.col("base")).cast("bigint").alias("span_end"),
+                        "kind", "number")
+
+
 def spans_out(df: DataFrame, *more: Column) -> DataFrame:
     return df.select("doc_id", F.col("start").cast("bigint").alias("span_start"),
                      F.col("end").cast("bigint").alias("span_end"), *more)

@@ -118,26 +118,30 @@ def oracle_ceiling(spark, sf):
     return E.final_score(E.level_scores(ev))
 
 
-@query("span_conflicts", scored("SELECT a.doc_id, a.idx AS idx_a, b.idx AS idx_b FROM pred a JOIN pred b ON a.doc_id = b.doc_id AND a.idx < b.idx "
-                                "AND a.s < b.e AND b.s < a.e"))
+def conflicts(spans: str, select: str = "SELECT doc_id, a.idx AS idx_a, b.idx AS idx_b FROM touching") -> str:
+    """Pairs of overlapping spans of a document, found within one list per document."""
+    return scored(select, f""",
+lists AS MATERIALIZED (SELECT doc_id, list(struct_pack(idx := idx, s := s, e := e) ORDER BY idx) AS v FROM ({spans}) GROUP BY doc_id),
+each AS (SELECT doc_id, v, unnest(v) AS a FROM lists),
+touching AS (SELECT doc_id, a, unnest(list_filter(v, lambda b: b.idx > a.idx AND a.s < b.e AND b.s < a.e)) AS b FROM each)""")
+
+
+@query("span_conflicts", conflicts("SELECT doc_id, idx, s, e FROM pred"))
 def span_conflicts(spark, sf):
     return E.span_conflicts(pred_frame(spark, sf), None).select("doc_id", "idx_a", "idx_b")
 
 
-@query("span_conflicts_by_iou", scored(
-    "SELECT * FROM (SELECT a.doc_id, a.idx AS idx_a, b.idx AS idx_b, (least(a.e, b.e) - greatest(a.s, b.s)) / CAST((a.e - a.s) + (b.e - b.s) "
-    "- (least(a.e, b.e) - greatest(a.s, b.s)) AS DOUBLE) AS iou FROM twice a JOIN twice b ON a.doc_id = b.doc_id AND a.idx < b.idx "
-    "AND a.s < b.e AND b.s < a.e) WHERE iou >= 0.5",
-    ", twice AS (SELECT doc_id, idx, s, e FROM pred UNION ALL SELECT doc_id, idx + 1000, s + 6, e + 6 FROM gold)"))
+@query("span_conflicts_by_iou", conflicts(
+    "SELECT doc_id, idx, s, e FROM pred UNION ALL SELECT doc_id, idx + 1000, s + 6, e + 6 FROM gold",
+    "SELECT * FROM (SELECT doc_id, a.idx AS idx_a, b.idx AS idx_b, (least(a.e, b.e) - greatest(a.s, b.s)) / CAST((a.e - a.s) + (b.e - b.s) "
+    "- (least(a.e, b.e) - greatest(a.s, b.s)) AS DOUBLE) AS iou FROM touching) WHERE iou >= 0.5"))
 def span_conflicts_by_iou(spark, sf):
     gold, pred = both(spark, sf)
     moved = gold.select("doc_id", F.col("idx") + 1000, F.col("start") + 6, F.col("end") + 6)
     return E.span_conflicts(pred.select("doc_id", "idx", "start", "end").union(moved))
 
 
-@query("gold_conflicts", scored(
-    "SELECT a.doc_id, a.idx AS idx_a, b.idx AS idx_b FROM wide a JOIN wide b ON a.doc_id = b.doc_id AND a.idx < b.idx AND a.s < b.e AND b.s < a.e",
-    ", wide AS (SELECT doc_id, idx, s, e + CASE WHEN idx % 4 = 0 THEN 60 ELSE 0 END AS e FROM gold)"))
+@query("gold_conflicts", conflicts("SELECT doc_id, idx, s, e + CASE WHEN idx % 4 = 0 THEN 60 ELSE 0 END AS e FROM gold"))
 def gold_conflicts(spark, sf):
     wide = gold_frame(spark, sf).withColumn("end", F.col("end") + F.when(F.col("idx") % 4 == 0, 60).otherwise(0))
     return E.span_conflicts(wide, None).select("doc_id", "idx_a", "idx_b")
