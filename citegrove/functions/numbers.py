@@ -24,6 +24,11 @@ WORD = rf"(?U)^({_BEFORE}?)([\d{OCR_LETTERS}{LINKS}]+?)({_AFTER})?(?={_SEPARATOR
 ORDINAL = "^" + one_of("[nN][º°.]+", "N[º°o.]*") + "$"
 # loose letters that are a class by themselves unless they stand within a number or after an ordinal
 CLASS_LIKE = sorted({w.lower() for _, spellings in CLASS_SPELLINGS for w in spellings if len(w) <= 2 and set(w) <= set(OCR_LETTERS)})
+# the usual zone: numeric words without two letters beside each other, after and before at most the end or start of some other word, which _GLUED marks.
+# Group 1: the numeric words
+_GLUED = "x"
+_NUMERIC = rf"(?!\S*[A-Za-z]{{2}})[{OCR_LETTERS}{LINKS}]*+\d[\d{OCR_LETTERS}{LINKS}]*+"
+PLAIN_ZONE = rf"(?U)^(?:{_GLUED}[A-Za-z|!]*+(?=\s))?+\s*+({_NUMERIC}(?:\s++{_NUMERIC})*+)(?:\s++[^\d\s]*{_GLUED}|\s*+)$"
 CONTEXT = 96
 NUMBER_TYPE = "array<struct<start:int,end:int,match:string,lead:string,tail:string,first:boolean,apart:boolean>>"
 
@@ -99,16 +104,36 @@ def _runs(zone: Column) -> Column:
     return F.aggregate(let(F.split(zone["match"], r"(?U)\s", -1), tokens), start, _step, end)
 
 
-def numbers(text: Column) -> Column:
-    """Every number of a text in order: place, text, the text of its zone before it (from the number before on), the text after it, whether it is
-    the first one of its zone, and whether it stands apart (a sign that ends a number comes before it).  NULL without a zone."""
+def _plain_runs(zone: Column) -> Column:
+    """The one run of a usual zone; NULL for other zones."""
+    last, next_ = F.right(zone["lead"], F.lit(1)), F.substring(zone["tail"], 1, 1)
+    before = F.when((last == "") | last.rlike(f"[{_BREAKS}]"), "").otherwise(F.when(last.isin("º", "°"), last).otherwise(_GLUED))
+    after = F.when((next_ == "") | next_.rlike(f"[{_BREAKS}]"), "").otherwise(_GLUED)
+    marked = F.struct(F.concat(before, zone["match"], after).alias("text"), F.length(before).alias("shift"))
+
+    def run(m: Column) -> Column:
+        # no digit comes before the words, so they are first found where they stand
+        return let(F.regexp_extract(m["text"], PLAIN_ZONE, 1), lambda words: F.when(words != "", let(
+            F.position(words, m["text"]) - 1 - m["shift"], lambda start: F.array(F.struct(
+                start.alias("start"), (start + F.length(F.regexp_replace(words, r"[.\-–]+$", ""))).alias("end"))))))
+    return let(marked, run)
+
+
+def numbers(text: Column, beside: bool = False) -> Column:
+    """Every number of a text in order: place and text.  With `beside` also the text of its zone before it (from the number before on), the text
+    after it, whether it is the first one of its zone, and whether it stands apart (a sign that ends a number comes before it).  NULL without a zone."""
     def of_zone(z: Column) -> Column:
         def placed(runs: Column) -> Column:
-            return F.transform(runs, lambda r, i: let(F.when(i == 0, 0).otherwise(runs[i - 1]["end"]), lambda from_: F.struct(
-                (z["start"] + r["start"]).alias("start"), (z["start"] + r["end"]).alias("end"),
-                F.substring(z["match"], r["start"] + 1, r["end"] - r["start"]).alias("match"),
-                F.substring(z["match"], from_ + 1, r["start"] - from_).alias("lead"),
-                F.substring(F.concat(F.substring(z["match"], r["end"] + 1, F.lit(CONTEXT)), z["tail"]), 1, CONTEXT).alias("tail"),
-                (i == 0).alias("first"), ((i == 0) & F.substring(z["match"], 1, r["start"]).rlike(r"(?U)^\s*$") & z["lead"].rlike(r"[,;:()]$")).alias("apart"))))
-        return let(_runs(z), placed)
-    return F.flatten(F.transform(zones(text), of_zone)).cast(NUMBER_TYPE)
+            def number(r: Column, i: Column) -> Column:
+                found = [(z["start"] + r["start"]).alias("start"), (z["start"] + r["end"]).alias("end"),
+                         F.substring(z["match"], r["start"] + 1, r["end"] - r["start"]).alias("match")]
+                if not beside:
+                    return F.struct(*found)
+                from_ = F.when(i == 0, 0).otherwise(F.get(runs, i - 1)["end"])
+                return F.struct(
+                    *found, let(from_, lambda f: F.substring(z["match"], f + 1, r["start"] - f)).alias("lead"),
+                    F.substring(F.concat(F.substring(z["match"], r["end"] + 1, F.lit(CONTEXT)), z["tail"]), 1, CONTEXT).alias("tail"), (i == 0).alias("first"),
+                    ((i == 0) & F.substring(z["match"], 1, r["start"]).rlike(r"(?U)^\s*$") & z["lead"].rlike(r"[,;:()]$")).alias("apart"))
+            return F.transform(runs, number)
+        return let(let(_plain_runs(z), lambda plain: F.coalesce(plain, _runs(z))), placed)
+    return F.flatten(F.transform(zones(text), of_zone)).cast(NUMBER_TYPE if beside else "array<struct<start:int,end:int,match:string>>")

@@ -196,7 +196,7 @@ def docket_chains(text: Column) -> Column:
         return F.transform(F.filter(let(heads, chain), lambda c: ~c[0]["apart"]), lambda c: F.struct(c[0]["start"].alias("start"), F.element_at(c, -1)["end"].alias("end"),
             F.transform(c, lambda x: F.struct((x["start"] - c[0]["start"]).alias("start"), (x["end"] - c[0]["start"]).alias("end"), x["run"].alias("run"),
                                               x["suffix"].alias("suffix"), x["uf"].alias("uf"))).alias("items")))
-    return let(F.transform(numbers(text), with_tail), lambda items: F.when(F.size(items) > 0, grouped(items)))
+    return let(F.transform(numbers(text, beside=True), with_tail), lambda items: F.when(F.size(items) > 0, grouped(items)))
 
 
 def _docket_items(items: Column) -> Column:
