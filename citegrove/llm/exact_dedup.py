@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,9 +60,15 @@ def exact_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
 
 
 def without_copies(docs: DataFrame, keep: str = "largest") -> DataFrame:
-    """docs without the rows whose text another row keeps; of repeated rows (one identifier, one text) one stays.
-    Columns are unchanged. The texts are dealt anew only once, and a second time only where repeated rows exist."""
-    found = exact_duplicates(docs, keep=keep).filter("kept").groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    found = stored(found.withColumnRenamed("doc_id", "_id"), "kept")
-    left = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return left.dropDuplicates(["doc_id", "text"]) if found.filter("_rows > 1").take(1) else left
+    """docs without the rows whose text another row keeps; of repeated rows (one identifier, one text) one stays. Columns are
+    unchanged, whatever their names. A row stays by its identifier and text together, so that of two texts of one identifier only
+    the one that the identifier keeps does; null texts count as empty, a null identifier stays where its text has no other. The texts
+    are dealt anew only once, and a second time only where repeated rows exist."""
+    one, two = ("_" + uuid.uuid4().hex for _ in range(2))
+    found = exact_duplicates(docs, keep=keep).withColumn("stays", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    found = stored(found.filter("stays").groupBy(F.col("doc_id").alias(one), F.col("text_sha256").alias(two)).agg(F.count("*").alias("rows")), "kept")
+    digest = F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))).cast("binary"), 256)
+    left = docs.join(found.select(one, two), F.col("doc_id").eqNullSafe(F.col(one)) & (digest == F.col(two)), "left_semi")
+    if not found.filter("rows > 1").take(1):
+        return left
+    return left.withColumn(two, digest).dropDuplicates(["doc_id", two]).drop(two)

@@ -49,10 +49,36 @@ def _list_of_picks(picks: list[tuple[int, np.ndarray, np.ndarray]], rows: int) -
     return pa.ListArray.from_arrays(pa.array(offsets), items)
 
 
+def picked(h: np.ndarray, row: np.ndarray, n: np.ndarray, similarity: float, runs: int, level: int) -> pa.Array:
+    """The tokens that each set picks at a level, by run. A token is picked where its hash for the run and level is below
+    1 / (similarity * n), so every set picks 1 / similarity tokens on average, and similar sets the same ones."""
+    limit = np.minimum(2.0**32 / (similarity * np.maximum(n, 1)), 2.0**32 - 1).astype(np.uint64)[row]
+    picks = []
+    for j in range(0, runs, 2):
+        x = mix(h + np.uint64(0x9E3779B97F4A7C15 * (level * 1009 + j + 1) % 2**64))
+        for i, y in ((j, x >> np.uint64(32)), (j + 1, x & np.uint64(0xFFFFFFFF))):
+            if i < runs:
+                at = np.flatnonzero(y <= limit)
+                picks.append((i, h[at], row[at]))
+    return _list_of_picks(picks, len(n))
+
+
+def picks_of(docs: DataFrame, k: int, similarity: float, runs: int, level: int, id_col: str, text: str) -> DataFrame:
+    """(id, run, token): what the sets of these documents pick at a level."""
+    def pick(batches):
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(1))
+            for a, b in chunks(offsets):
+                h, row = shingle_sets(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], k)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), picked(h, row, np.bincount(row, minlength=b - a), similarity, runs, level)], ["id", "picks"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text).mapInArrow(pick, f"id long, picks {PICK}")
+    return rows.select("id", F.explode("picks").alias("p")).select("id", "p.run", "p.token").distinct()
+
+
 def signatures(docs: DataFrame, k: int, similarity: float, runs: int, id_col: str, text: str) -> DataFrame:
     """One row per document with words: id, n (distinct shingles), two hashes of the whole set, a sketch (the least hash in
-    each of BINS bins) and the tokens picked at each level and run. A token is picked where its hash for the run and level
-    is below 1 / (similarity * n), so every set picks 1 / similarity tokens on average, and similar sets the same ones."""
+    each of BINS bins) and the tokens picked at the first level."""
     def sign(batches):
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
@@ -71,21 +97,13 @@ def signatures(docs: DataFrame, k: int, similarity: float, runs: int, id_col: st
                 least = np.ones(len(h), bool)
                 least[1:] = (bin_of[1:] != bin_of[:-1]) | (row[1:] != row[:-1])
                 sketch[row[least], bin_of[least]] = (h[least] >> np.uint64(40)).astype(np.uint16) | np.uint16(1)
-                limit = np.minimum(2.0**32 / (similarity * np.maximum(n, 1)), 2.0**32 - 1).astype(np.uint64)[row]
-                levels: list[list] = [[] for _ in range(LEVELS)]
-                for j in range(0, runs * LEVELS, 2):
-                    x = mix(h + np.uint64(0x9E3779B97F4A7C15 * (j + 1) % 2**64))
-                    for i, y in ((j, x >> np.uint64(32)), (j + 1, x & np.uint64(0xFFFFFFFF))):
-                        if i < runs * LEVELS:
-                            at = np.flatnonzero(y <= limit)
-                            levels[i % LEVELS].append((i // LEVELS, h[at], row[at]))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, rows), pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)),
-                     pa.array([pack(x) for x in sketch], pa.binary()), *[_list_of_picks(x, rows) for x in levels]],
-                    ["id", "n", "one", "two", "sketch", "pick0", "pick1", "pick2"]).filter(pa.array(n > 0))
+                     pa.array([pack(x) for x in sketch], pa.binary()), picked(h, row, n, similarity, runs, 0)],
+                    ["id", "n", "one", "two", "sketch", "picks"]).filter(pa.array(n > 0))
 
     kept = docs.select(F.col(id_col).cast("long").alias("id"), text).filter("id IS NOT NULL")
-    return kept.mapInArrow(sign, f"id long, n long, one long, two long, sketch binary, pick0 {PICK}, pick1 {PICK}, pick2 {PICK}")
+    return kept.mapInArrow(sign, f"id long, n long, one long, two long, sketch binary, picks {PICK}")
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -161,13 +179,14 @@ def in_parts(rows: DataFrame, size: str, most: int, by: list[str]) -> DataFrame:
         "side", F.when(low == high, 2).otherwise((F.col("_block") == high).cast("int"))).drop("_n", "_block", "_other")
 
 
-def paths(signed: DataFrame, runs: int, most: int) -> DataFrame:
+def paths(signed: DataFrame, most: int, picks_at) -> DataFrame:
     """(bucket, part, side, id) of all buckets of two or more sets. Level by level, sets with the same path of picked tokens
-    form a bucket; one of more than `most` is split by the tokens of the next level, and after the last level into blocks."""
-    def bucket(path, run):
-        return F.xxhash64(path, F.col(run), F.col("p.token"))
+    form a bucket; one of more than `most` is split by the tokens of the next level, and after the last level into blocks.
+    picks_at(ids, level): (id, run, token) of these sets; they are worked out for the sets of split buckets only."""
+    def bucket(path, run, token):
+        return F.xxhash64(path, F.col(run), F.col(token))
 
-    level = signed.select("id", F.explode("pick0").alias("p")).select("id", F.col("p.run").alias("run"), bucket(F.lit(0), "p.run").alias("bucket"))
+    level = signed.select("id", F.explode("picks").alias("p")).select("id", F.col("p.run").alias("run"), bucket(F.lit(0), "p.run", "p.token").alias("bucket"))
     ready = None
     for depth in range(LEVELS):
         sizes = level.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
@@ -177,9 +196,8 @@ def paths(signed: DataFrame, runs: int, most: int) -> DataFrame:
         ready = now if ready is None else ready.unionByName(now)
         if last or not level.filter(F.col("size") > most).take(1):
             return ready
-        picks = signed.select("id", F.explode(f"pick{depth + 1}").alias("p"))
-        level = (level.filter(F.col("size") > most).select("id", "run", F.col("bucket").alias("path")).join(picks, "id")
-                 .filter(F.col("p.run") == F.col("run")).select("id", "run", bucket(F.col("path"), "run").alias("bucket")))
+        large = stored(level.filter(F.col("size") > most).select("id", "run", F.col("bucket").alias("path")), "split-paths")
+        level = large.join(picks_at(large.select("id").distinct(), depth + 1), ["id", "run"]).select("id", "run", bucket(F.col("path"), "run", "token").alias("bucket"))
     return ready
 
 
@@ -256,8 +274,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, recall
     classes = signed.select("id", *same).distinct().groupBy(*same).agg(F.min("id").alias("representative"), F.count("*").alias("copies"))
     classes = stored(classes, "set-classes")
     first = classes.select(F.col("representative").alias("id"), *same)
-    sets = stored(signed.join(first, ["id", *same], "left_semi").dropDuplicates(["id"]), "distinct-sets")
-    found = paths(sets, runs, bucket).join(sets.select("id", "sketch"), "id")
+
+    def of_sets(column: str) -> DataFrame:
+        return signed.select("id", *same, column).join(first, ["id", *same], "left_semi").dropDuplicates(["id", *same]).select("id", column)
+
+    def picks_at(ids: DataFrame, level: int) -> DataFrame:
+        rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
+        return picks_of(rows, k, similarity, runs, level, "id", "text")
+    found = paths(of_sets("picks"), bucket, picks_at).join(of_sets("sketch"), "id")
     linked = stored(components(candidate_links(found, similarity - 0.3, similarity + 0.02)), "candidate-components")
     members = linked.join(classes.select(F.col("representative").alias("id"), "n", "copies"), "id")
     exact = stored(exact_links(members, docs, k, similarity, id_col, text, most_shingles), "exact-links")

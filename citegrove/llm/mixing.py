@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -62,9 +64,26 @@ def mixing_plan(docs: DataFrame, target_entropy: float | None = None, max_repeat
     equal id, source and text go together, an empty table gives no rows, other columns are ignored.
 
     Running sums go over buckets of the permutations, not over a source, so that one large source spreads over many tasks."""
+    placed = placed_uses(docs, target_entropy, max_repeats, budget, seed, id_col, text, source, tokens)
+    block = F.when(F.col("weight") > 0, F.floor(F.least("at", F.greatest(F.col("wanted") - 1, F.lit(0))) / (F.col("weight") * block_tokens))).otherwise(0)
+    placed = placed.withColumn("block", block.cast("long"))
+    order = Window.partitionBy("block").orderBy(F.xxhash64(F.lit(seed), "r"), "id", "source_key", "text_hash", "epoch")
+    return placed.select(F.col("id").alias(id_col), "text_hash", "source_key", "tokens", "uses", "epoch", "block", F.row_number().over(order).alias("slot"), "weight")
+
+
+def permuted(seed: int, epoch, buckets) -> tuple[Column, Column]:
+    """Place of a row (id, text_hash, source_key) in the permutation of an epoch: its bucket, and a hash that orders the bucket."""
+    r = F.xxhash64(F.lit(seed), "id", "text_hash", "source_key", epoch)
+    return F.floor(F.pmod(r, F.lit(1 << 30)) * buckets / (1 << 30)), r
+
+
+def placed_uses(docs: DataFrame, target_entropy: float | None, max_repeats: float | None, budget: int | None, seed: int, id_col: str, text: str,
+                source: str, tokens: Column | None) -> DataFrame:
+    """Every use that the plan makes of a document: id, text_hash, source_key, tokens, uses, its place (epoch, bucket, r), the tokens of the source read
+    before it (at), whether that is within the source's budget (else it is used because it has no tokens), and t, weight, wanted, buckets of the source."""
     size = words_of(text) if tokens is None else tokens
-    unit = stored(docs.select(F.col(id_col), source_key(source).alias("source_key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"),
-                              size.alias("tokens")).groupBy(id_col, "source_key", "text_hash")
+    unit = stored(docs.select(F.col(id_col).alias("id"), source_key(source).alias("source_key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"),
+                              size.alias("tokens")).groupBy("id", "source_key", "text_hash")
                   .agg(F.sum("tokens").alias("tokens"), F.count("*").alias("uses")), "mixing-units")
     totals = stored(unit.groupBy("source_key").agg(F.sum("tokens").alias("tokens")), "mixing-sources")
     exponent = find_exponent(totals, target_entropy, max_repeats)
@@ -78,26 +97,35 @@ def mixing_plan(docs: DataFrame, target_entropy: float | None = None, max_repeat
                            F.greatest(F.lit(1), F.least(F.lit(65_536), F.ceil(F.col("t") / (1 << 18)))).alias("buckets"))
     epochs = F.when(F.col("t") > 0, F.greatest(F.lit(0), F.ceil(F.col("wanted") / F.col("t") - 1e-9))).otherwise(1).cast("int")
     each = unit.join(shares, "source_key").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(epochs, F.lit(1)) - 1))).filter(epochs > 0)
-    each = each.withColumn("r", F.xxhash64(F.lit(seed), F.col(id_col), "text_hash", "source_key", "epoch"))
-    each = each.withColumn("bucket", F.floor(F.pmod("r", F.lit(1 << 30)) * F.col("buckets") / (1 << 30)))
+    bucket, r = permuted(seed, F.col("epoch"), F.col("buckets"))
+    each = each.withColumn("bucket", bucket).withColumn("r", r)
     key = ["source_key", "epoch", "bucket"]
     sums = each.groupBy(*key).agg(F.sum("tokens").alias("in_bucket"))
     before = Window.partitionBy("source_key", "epoch").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*key, F.coalesce(F.sum("in_bucket").over(before), F.lit(0)).alias("bucket_start"))
-    inside = Window.partitionBy(*key).orderBy("r", id_col, "text_hash").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*key).orderBy("r", "id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     placed = each.join(sums, key).withColumn(
         "at", F.col("epoch") * F.col("t") + F.col("bucket_start") + F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
-    placed = placed.filter((F.col("at") < F.col("wanted") - 1e-6 * F.col("t")) | (F.col("t") == 0) | ((F.col("tokens") == 0) & (F.col("epoch") == 0)))
-    block = F.when(F.col("weight") > 0, F.floor(F.least("at", F.greatest(F.col("wanted") - 1, F.lit(0))) / (F.col("weight") * block_tokens))).otherwise(0)
-    placed = placed.withColumn("block", block.cast("long"))
-    order = Window.partitionBy("block").orderBy(F.xxhash64(F.lit(seed), "r"), id_col, "source_key", "text_hash", "epoch")
-    return placed.select(id_col, "text_hash", "source_key", "tokens", "uses", "epoch", "block", F.row_number().over(order).alias("slot"), "weight")
-
-
-def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **settings) -> DataFrame:
-    """docs as often as the plan uses them, columns unchanged. Joining on id, source and text, Spark splits large keys."""
-    plan = stored(mixing_plan(docs, id_col=id_col, text=text, source=source, **settings), "mixing-plan").select(
-        F.col(id_col).alias("_id"), F.col("source_key").alias("_source"), F.col("text_hash").alias("_hash"))
-    same = (F.col(id_col).eqNullSafe(F.col("_id")) & (source_key(source) == F.col("_source"))
-            & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("_hash")))
-    return docs.join(plan, same).drop("_id", "_source", "_hash")
+    placed = placed.withColumn("within", (F.col("at") < F.col("wanted") - 1e-6 * F.col("t")) | (F.col("t") == 0))
+    return placed.filter(F.col("within") | ((F.col("tokens") == 0) & (F.col("epoch") == 0)))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", target_entropy: float | None = None,
+          max_repeats: float | None = None, budget: int | None = None, seed: int = 0, tokens: Column | None = None) -> DataFrame:
+    """docs as often as the plan uses them, columns unchanged, whatever their names.
+
+    A source is read up to a place in the permutation of its last epoch. These places are one small table of the sources; a row
+    decides by it how often it stands, so that no text is moved. Nulls and repeated rows are as in mixing_plan."""
+    used = placed_uses(docs, target_entropy, max_repeats, budget, seed, id_col, text, source, tokens).filter("within")
+    place = F.struct("epoch", "bucket", "r", "id", "text_hash")
+    ends = stored(used.groupBy("source_key").agg(F.max(place).alias("end"), F.first("buckets").alias("buckets"), F.first("t").alias("t")), "mixing-ends")
+    every = "_" + uuid.uuid4().hex
+    size = words_of(f"{every}.{text}") if tokens is None else F.col(f"{every}._tokens")
+    row = docs if tokens is None else docs.withColumn("_tokens", tokens)
+    rows = row.select(F.struct("*").alias(every), F.col(id_col).alias("id"), source_key(source).alias("source_key"),
+                      F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"))
+    rows = rows.join(ends, "source_key").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("end.epoch"))))
+    bucket, r = permuted(seed, F.col("epoch"), F.col("buckets"))
+    inside = F.struct("epoch", bucket.alias("bucket"), r.alias("r"), "id", "text_hash") <= F.col("end")
+    kept = rows.filter(inside | ((F.col("epoch") == 0) & (size == 0)))
+    return kept.select(*[F.col(f"{every}.`{c}`") for c in docs.columns])
