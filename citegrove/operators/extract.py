@@ -6,9 +6,10 @@ of all detectors are marked within the row, exploded once and read from bounded
 is enough for any number of detectors and texts never leave the map side: only span rows are shuffled, to settle
 overlaps.
 """
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from citegrove.functions.cached import per_session
@@ -22,6 +23,7 @@ from citegrove.functions.text import fold_same_length, noise_flag
 from citegrove.operators import patterns as P
 from citegrove.operators.overlaps import resolve_overlaps
 from citegrove.operators.prepare import prepare_text, source_end, source_start
+from citegrove.plans.tables import stored
 from citegrove.rules import COURTS, NEUTRAL_WORDS
 
 CLASS_WINDOW, HEAD_WINDOW, YEAR_WINDOW_LEFT, YEAR_WINDOW_RIGHT, LAW_WINDOW = 130, 110, 40, 120, 200
@@ -410,3 +412,45 @@ def extract_all(docs: DataFrame, text: str = "text") -> DataFrame:
     keep = [c for c in docs.columns if c != text]
     prepared = prepare_text(docs, text).select(*keep, "prepared", "map_start", "map_end")
     return resolve_overlaps(run_detectors(prepared, DETECTORS, "prepared", maps=True))
+
+
+@dataclass(frozen=True)
+class CustomDetector:
+    """A user's own detector: find(text) yields (start, end, kind) and may raise."""
+    name: str
+    order: int
+    find: Callable[[str], Iterable[tuple[int, int, str]]]
+
+
+def run_custom(docs: DataFrame, detectors: list[CustomDetector], text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(spans, quarantine) of users' detectors.  A detector that raises on a document loses only its spans of that document: the quarantine has one row
+    for each such pair, with doc columns, detector, error (its class) and message.  Spans outside the text are an error too; a null text has none.
+    Texts are read in Arrow batches in one pass for all detectors; that pass is written once, so a failing detector is not run twice."""
+    keep = [c for c in docs.columns if c != text]
+    found = "array<struct<detector:int,start:int,end:int,kind:string,error:string,message:string>>"
+
+    def one(d: CustomDetector, t: str) -> list[dict]:
+        try:
+            spans = [(int(s), int(e), str(k)) for s, e, k in d.find(t)]
+            if any(not 0 <= s < e <= len(t) for s, e, _ in spans):
+                raise ValueError("a span outside the text")
+            return [{"detector": d.order, "start": s, "end": e, "kind": k, "error": None, "message": None} for s, e, k in spans]
+        except Exception as e:  # noqa: BLE001  (whatever a user's rule raises is quarantined)
+            return [{"detector": d.order, "start": None, "end": None, "kind": None, "error": type(e).__name__, "message": str(e)[:200]}]
+
+    @F.pandas_udf(found)
+    def scan(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [] if t is None else [x for d in detectors for x in one(d, t)])
+    names = F.element_at(F.create_map(*[F.lit(x) for d in detectors for x in (d.order, d.name)]), F.col("detector"))
+    rows = stored(docs.select(*keep, F.explode(scan(F.col(text))).alias("_x")).select(*keep, "_x.*"), "custom-spans")
+    spans = rows.filter("error IS NULL").select(*keep, "detector", *[
+        (F.col(c) if c in ("kind", "start", "end") else F.lit(False) if c == "noisy" else F.lit(None)).cast(t).alias(c) for c, t in _FIELDS.items()])
+    return spans, rows.filter("error IS NOT NULL").select(*keep, names.alias("detector"), "error", "message")
+
+
+def extract_isolated(docs: DataFrame, custom: list[CustomDetector], text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(disjoint spans of the detectors of this library and of users' ones, quarantine of the latter).  Offsets are those of the source text."""
+    keep = [c for c in docs.columns if c != text]
+    prepared = prepare_text(docs, text).select(*keep, "prepared", "map_start", "map_end")
+    own, failed = run_custom(docs, custom, text)
+    return resolve_overlaps(run_detectors(prepared, DETECTORS, "prepared", maps=True).unionByName(own)), failed

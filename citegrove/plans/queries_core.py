@@ -1,4 +1,6 @@
 """Queries over normalisation, extraction, registry and resolution, each with the SQL that knows the answer."""
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from citegrove.functions import classes, courts, dockets, laws, text as tx
@@ -310,6 +312,29 @@ def slice_snippet(spark, sf):
         "doc_id", "span_start", slice_text(F.col("text"), F.col("span_start").cast("int"), F.col("span_end").cast("int")).alias("snippet"))
 
 
+def _page_refs(text: str):
+    """Page references, as a user might want them; it breaks on documents of one ending."""
+    for m in re.finditer(r"fls[.] \d+/\d+", text):
+        if m.group().endswith("7"):
+            raise KeyError(m.group())
+        yield m.start(), m.end(), "folhas"
+
+
+_PAGES = "SELECT doc_id, opens + 13 AS span_start, opens + length(cite) AS span_end, cite FROM placed WHERE form = 'distractor' AND v = 0"
+
+
+@query("extract_isolated", truth(
+    f"SELECT doc_id, span_start, span_end, kind, NULL AS error FROM truth UNION ALL "
+    f"SELECT doc_id, CAST(span_start AS BIGINT), CAST(span_end AS BIGINT), 'folhas', NULL FROM ({_PAGES}) WHERE doc_id NOT IN (SELECT doc_id FROM ({_PAGES}) WHERE cite LIKE '%7') "
+    f"UNION ALL SELECT DISTINCT doc_id, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), 'page_refs', 'KeyError' FROM ({_PAGES}) WHERE cite LIKE '%7'"))
+def extract_isolated(spark, sf):
+    """A user's detector that fails on some documents: these are reported, everything else is found."""
+    spans, failed = X.extract_isolated(filings_text(spark, sf), [X.CustomDetector("page_refs", 90, _page_refs)])
+    none = F.lit(None).cast("bigint")
+    return spans_out(spans, F.col("kind"), F.lit(None).cast("string").alias("error")).unionByName(
+        failed.select("doc_id", none.alias("span_start"), none.alias("span_end"), F.col("detector").alias("kind"), "error"))
+
+
 # ------------------------------------------------------------------ registry
 
 def dec(select: str) -> str:

@@ -3,7 +3,7 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
-from citegrove.operators import evaluate as E, resolve as S, results
+from citegrove.operators import audit, evaluate as E, resolve as S, results
 from citegrove.plans import corpora as C
 from citegrove.plans.queries_core import _RESOLVED, cited_spans, index, joined, query
 from citegrove.plans.tables import once, shared_folder, stored
@@ -326,3 +326,28 @@ def gold_csv_roundtrip(spark, sf):
     return files.read_gold_csv(spark, path).select(
         F.col("documento_id").alias("doc_id"), F.col("nivel").alias("level"), F.col("citacao_id").alias("cit"), F.col("inicio").alias("span_start"),
         F.col("fim").alias("span_end"), F.col("trecho").alias("snippet"), F.col("classificacao").alias("label"), F.col("id_canonico").alias("id"))
+
+
+# ------------------------------------------------------------------ registry against gold
+
+# citations whose class does not read, is taken away or is that of the namesake too; whose label or id is wrong
+_WRONG = "CAST((span_start + level + slot) % 7 AS INT)"
+_AUDITED = f"""SELECT b.doc_id, b.slot, {_WRONG.replace('span_start', 'b.span_start').replace('level', 'b.level').replace('slot', 'b.slot')} AS wrong, b.label, b.id, b.t,
+  CASE WHEN b.slot % 2 = 1 THEN p.txt_u ELSE p.txt END AS snippet, b.slot % 2 = 1 AS bare, p.level = 2 AND p.v % 2 = 1 AND p.digits AS damaged
+  FROM truth b JOIN (SELECT doc_id, i * 2 AS slot, level, v, coalesce(head, cite) AS txt, substr(cite, length(head) + 4) AS txt_u,
+    length(translate(noisy_name, '01', '')) < length(noisy_name) AS digits FROM placed) p ON p.doc_id = b.doc_id AND p.slot = b.slot - b.slot % 2 WHERE b.kind = 'acordao'"""
+_GOLD_AUDITED = f"""SELECT concat_ws('|', doc_id, CAST(slot AS STRING)) AS row, CASE WHEN wrong = 2 THEN substr(snippet, {{first_digit}}) ELSE snippet END AS snippet,
+  CASE WHEN wrong = 0 AND label = 'real' THEN 'inventada' ELSE label END AS label, CAST(CASE WHEN wrong = 1 THEN id + 7 ELSE id END AS STRING) AS id FROM ({_AUDITED}) x"""
+
+
+@query("registry_vs_gold_audit", C.duck(f"""WITH {C.truth_sql()}, audited AS ({_AUDITED}),
+counted AS (SELECT *, CASE WHEN label <> 'real' THEN 0 ELSE 1 + CASE WHEN t % 11 = 0 THEN 1 ELSE 0 END + CASE WHEN t % 13 = 0 THEN 1 ELSE 0 END END AS records FROM audited)
+SELECT outcome, count(*) AS citations, CAST(sum(records) AS BIGINT) AS by_number FROM (SELECT records, CASE WHEN label <> 'real' THEN 'invented_empty' WHEN wrong = 0 THEN 'invented_with_candidate'
+  WHEN wrong = 1 THEN 'real_not_found' WHEN t % 11 = 0 AND (wrong = 2 OR damaged OR (t % 5 = 4 AND {C.idiv('t', 5)} % 4 = 3)) THEN 'real_ambiguous' WHEN records > 1 THEN 'real_by_tiebreak' ELSE 'real_unique' END AS outcome FROM counted)
+GROUP BY outcome"""))
+def registry_vs_gold_audit(spark, sf):
+    first_digit = "length(regexp_extract(snippet, '^([^0-9]*)', 1)) + 1"
+    gold = C.run_sql(spark, sf, f"WITH {C.truth_sql(True)} " + _GOLD_AUDITED.replace("{first_digit}", first_digit), "orders", "part")
+    b = index(spark, sf)
+    found = audit.registry_vs_gold_audit(stored(gold, "audited"), b["numbers"], b["profiles"], b["pairs"])
+    return found.groupBy("outcome").agg(F.count("*").alias("citations"), F.sum("by_number").cast("bigint").alias("by_number"))
