@@ -8,7 +8,7 @@ from citegrove.plans import corpora as C
 from citegrove.plans.queries_core import _RESOLVED, cited_spans, index, joined, query
 from citegrove.plans.tables import once, shared_folder, stored
 from citegrove.rules import CONFIDENCE
-from citegrove.sources import files
+from citegrove.sources import files, result_files
 
 _H = "(slot * 3 + span_start + level) % 10"
 FIXTURE = f""",
@@ -314,6 +314,21 @@ def result_json_roundtrip(spark, sf):
                     F.col("c.resolucao.fonte").alias("source"), F.col("c.resolucao.id_canonico").alias("id"), F.col("c.confianca").alias("confidence"))
 
 
+@query("result_files_roundtrip", scored(
+    f"SELECT 'p/' || replace(d.doc_id, '_', '.%+') AS doc_id, count(b.doc_id) AS citations, count(CASE WHEN label = 'real' THEN 1 END) AS resolved "
+    f"FROM {_DOCS} d LEFT JOIN base b ON d.doc_id = b.doc_id GROUP BY d.doc_id"))
+def result_files_roundtrip(spark, sf):
+    """One file a document; ids come back from the names of the files, whatever signs they hold."""
+    folder = f"{shared_folder(spark).rstrip('/')}/result-files-{uuid.uuid4().hex}"
+    out = results.result_documents(all_docs(spark, sf), _with_snippet(decided(spark, sf)), "registro")
+    named = out.select(F.concat(F.lit("p/"), F.replace("doc_id", F.lit("_"), F.lit(".%+"))).alias("doc_id"),
+                       F.regexp_replace("json", '"documento_id":"[^"]*",', "").alias("json"))
+    result_files.write_result_files(named, folder)
+    back = files.read_result_json(spark, folder, one_per_file=True, encoded_names=True)
+    return back.select(F.col("documento_id").alias("doc_id"), F.size("citacoes").cast("bigint").alias("citations"),
+                       F.size(F.filter("citacoes", lambda c: c["resolucao"]["id_canonico"].isNotNull())).cast("bigint").alias("resolved"))
+
+
 @query("gold_csv_roundtrip", scored(
     f"SELECT doc_id, CASE WHEN slot % 3 <> 0 THEN CAST(level AS INTEGER) END AS level, 'c' || CAST(slot AS STRING) AS cit, CAST(span_start AS INTEGER) AS span_start, "
     f"CAST(span_end AS INTEGER) AS span_end, coalesce({_SNIPPET}, '') AS snippet, label, coalesce(CAST(id AS STRING), '') AS id FROM base"))

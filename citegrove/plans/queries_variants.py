@@ -280,6 +280,22 @@ def stress_scoreboard(spark, sf):
     return out.select("section", "form", "cases", *[F.col(c).cast("int").alias(c) for c in ("ambiguous", "failed", "severe")])
 
 
+@query("failures_sample", dec(
+    f", {_GONE}, bad AS (SELECT id, list_extract({list(S.NUMBER_FORMS)}, CAST({_FORM} AS INTEGER) + 1) AS form FROM dec WHERE number IN {_OWN} AND id IN (SELECT id FROM gone)), "
+    "n AS (SELECT form, least(count(*), 5) AS cases FROM bad GROUP BY form) SELECT 'decisão' AS section, form, CAST(cases AS BIGINT) AS cases, "
+    "CAST(cases AS BIGINT) AS ranks, CAST(cases AS BIGINT) AS gone FROM n"))
+def failures_sample(spark, sf):
+    """Cases that fail once a quarter of the records has left: at most five of each section and form, all of them of records that left."""
+    known = stored(stress_cases(spark, sf).filter("section = 'decisão'"), "stress-cases")
+    raw, removed = _dropped(spark, sf)
+    tables = V.version_tables(registry(spark, sf), gone=removed.select(F.col("old_id").alias("id")))
+    index = index_tables({**tables, "norm_index": R.registry_norms(tables["norms"])})
+    found = resolve_spans(stored(X.extract_all(known.select("doc_id", "text")), "stress-spans"), index)
+    shown = S.failures_sample(S.verdicts(known, found), known)
+    missing = shown.join(removed.select(F.col("old_id").cast("string").alias("id"), F.lit(1).alias("left")), "id", "left")
+    return missing.groupBy("section", "form").agg(F.count("*").alias("cases"), F.max("rank").cast("bigint").alias("ranks"), F.count("left").alias("gone"))
+
+
 _VARIANTS = ["ids novos", "removidos", "normas reescritas", "sem normas", "só normas", "tribunais trocados", "sem índice de texto"]
 
 
