@@ -169,10 +169,12 @@ def _edits(spark, sf) -> dict:
     docs, gold = filings_text(spark, sf), _gold_spans(spark, sf)
     prose = F.element_at(F.array(*[F.lit(p) for p in PROSE]), (F.pmod(F.crc32("doc_id"), F.lit(len(PROSE))) + 1).cast("int"))
     brackets, hyphens, foreign = M.wrap_parens(gold.filter("slot % 2 = 0")), M.hyphenate(docs, gold), M.interleave_prose(docs, prose)
+    footers = M.append_footer(gold)
     jittered, blanks = M.jitter_spaces(docs, gold, F.col("doc_id"))
     return {"sem mudança": (docs, None), "linhas": (docs.withColumn("text", M.reflow(F.col("text"))), None), "nbsp": (M.nbsp_inside(docs, gold), None),
             "hífens": (M.insert_text(docs, hyphens), hyphens), "prosa": (M.insert_text(docs, foreign), foreign),
-            "espaços": (M.insert_text(jittered, blanks), blanks), "parênteses": (M.insert_text(docs, brackets), brackets)}
+            "espaços": (M.insert_text(jittered, blanks), blanks), "parênteses": (M.insert_text(docs, brackets), brackets),
+            "rodapé": (M.insert_text(docs, footers), footers), "caixa alta": (docs.withColumn("text", M.uppercase_text(F.col("text"))), None)}
 
 
 def _extracted_back(spark, sf, name: str):
@@ -204,11 +206,19 @@ def jitter_spaces(spark, sf):
     return _extracted_back(spark, sf, "espaços")
 
 
-@query("metamorphic_matrix", "SELECT e AS edit, CAST(lv AS BIGINT) AS level, CAST(1.0 AS DOUBLE) AS macro_f1 FROM (VALUES ('sem mudança'), ('linhas'), ('nbsp'), ('hífens'), "
-       "('prosa'), ('espaços')) t(e), (VALUES (1), (2)) l(lv)")
+# a footer or a bracket after the first number of an enumeration ends it: its second one, without a class of its own, is no citation any more
+_WHOLE, _CUT = ("sem mudança", "linhas", "nbsp", "hífens", "prosa", "espaços", "caixa alta"), ("rodapé", "parênteses")
+_EDITS = ", ".join([f"('{e}', 0)" for e in _WHOLE] + [f"('{e}', 1)" for e in _CUT])
+
+
+@query("metamorphic_matrix", truth(
+    f"SELECT edit, level, avg(2.0 * tp / (2 * tp + fn)) AS macro_f1, CAST(0 AS BIGINT) AS out_of_gold FROM (SELECT e.edit, level, label, "
+    f"CAST(count(CASE WHEN cuts = 0 OR slot % 2 = 0 THEN 1 END) AS DOUBLE) AS tp, count(CASE WHEN cuts = 1 AND slot % 2 = 1 THEN 1 END) AS fn "
+    f"FROM truth, (VALUES {_EDITS}) e(edit, cuts) GROUP BY 1, 2, 3) GROUP BY edit, level"))
 def metamorphic_matrix(spark, sf):
-    """One verification over all edits of all filings; the edit is part of the document's name, and scores are by edit."""
-    edits = {k: v for k, v in _edits(spark, sf).items() if k != "parênteses"}
+    """One verification over all edits of all filings; the edit is part of the document's name, and scores are by edit, with the number of citations found
+    that no gold span shares half of."""
+    edits = _edits(spark, sf)
     docs = stored(functools.reduce(DataFrame.unionByName, [d.select(F.concat(F.lit(k + "|"), "doc_id").alias("doc_id"), "text") for k, (d, _) in edits.items()]), "edits")
     gold = C.gold(spark, sf).withColumn("row", F.xxhash64("doc_id", "span_start")).select(
         "doc_id", "level", "row", F.col("span_start").alias("start"), F.col("span_end").alias("end"), "label", F.array_compact(F.array(F.col("id").cast("string"))).alias("ids"))
@@ -222,7 +232,10 @@ def metamorphic_matrix(spark, sf):
     edit = F.substring_index("doc_id", "|", 1)
     levels = golds.select("doc_id", F.concat_ws("|", edit, "level").alias("level")).distinct()
     events = E.confusion_events(golds.withColumn("level", F.concat_ws("|", edit, "level")), pred, levels)
-    return E.level_scores(events).select(F.substring_index("level", "|", 1).alias("edit"), F.substring_index("level", "|", -1).cast("bigint").alias("level"), "macro_f1")
+    scores = E.level_scores(events).select(F.substring_index("level", "|", 1).alias("edit"), F.substring_index("level", "|", -1).cast("bigint").alias("level"), "macro_f1")
+    extra = M.out_of_gold(golds, pred).join(levels, "doc_id").groupBy(edit.alias("edit"), F.substring_index("level", "|", -1).cast("bigint").alias("level")).agg(
+        F.count("*").alias("out_of_gold"))
+    return scores.join(extra, ["edit", "level"], "left").withColumn("out_of_gold", F.coalesce("out_of_gold", F.lit(0)))
 
 
 _LEAD = "Discute-se no "
