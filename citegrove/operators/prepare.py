@@ -1,41 +1,23 @@
 """Text preparation with offset maps, and the way back to source offsets."""
-import unicodedata
-
 from pyspark.sql import Column, DataFrame, functions as F
 
-from citegrove.functions.literals import map_literal
+from citegrove.functions.unicode_forms import CLUSTER, EXPANDING, NEEDS_COMPOSING, SINGLES_FROM, SINGLES_TO, compose
 from citegrove.rules import DOUBLE_QUOTE_CHARS, HYPHEN_CHARS, INVISIBLE_CHARS, SINGLE_QUOTE_CHARS
 
 _CONTROLS = "".join(chr(c) for c in [*range(0, 9), 11, 12, *range(14, 32), 127])
-_SWAP_FROM = HYPHEN_CHARS + DOUBLE_QUOTE_CHARS + SINGLE_QUOTE_CHARS + _CONTROLS
+_SWAP_FROM = HYPHEN_CHARS + DOUBLE_QUOTE_CHARS + SINGLE_QUOTE_CHARS + _CONTROLS + SINGLES_FROM
 _SWAP_TO = ("-" * len(HYPHEN_CHARS) + '"' * len(DOUBLE_QUOTE_CHARS) + "'" * len(SINGLE_QUOTE_CHARS)
-            + " " * len(_CONTROLS))
-# a character with its combining marks
-_CLUSTER = r"(?s)\P{M}\p{M}*|\p{M}+"
-_NEEDS_MAP = "[" + INVISIBLE_CHARS + r"]|\p{M}"
+            + " " * len(_CONTROLS) + SINGLES_TO)
+_NEEDS_MAP = "[" + INVISIBLE_CHARS + "]|" + NEEDS_COMPOSING
 _BLOCK = 256
 
 
-def _composed() -> list[tuple[str, str]]:
-    """Base letter + combining mark -> single letter, for the Latin letters, from the Unicode database."""
-    out = []
-    for cp in [*range(0xC0, 0x17F), *range(0x1E00, 0x1EFF)]:
-        nfd = unicodedata.normalize("NFD", chr(cp))
-        if len(nfd) > 1 and unicodedata.normalize("NFC", nfd) == chr(cp):
-            out.append((nfd, chr(cp)))
-    return out
-
-
-def _compose(cluster: Column) -> Column:
-    table = map_literal(dict(_composed()))
-    return F.when(F.length(cluster) > 1, F.coalesce(F.try_element_at(table, cluster), cluster)).otherwise(cluster)
-
-
 def _cluster_pieces(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(_CLUSTER), F.lit(0)), lambda c: F.struct(
-        F.length(c).alias("n"),
-        F.when(F.contains(F.lit(INVISIBLE_CHARS), c), F.lit(""))
-        .otherwise(_compose(F.when(F.length(c) == 1, F.translate(c, _SWAP_FROM, _SWAP_TO)).otherwise(c))).alias("s")))
+    """Each cluster's length and its prepared form.  A character alone is looked up, clusters and characters that expand are composed."""
+    def form(c: Column) -> Column:
+        alone = F.translate(c, _SWAP_FROM, _SWAP_TO)
+        return F.when(F.contains(F.lit(INVISIBLE_CHARS), c), F.lit("")).when((F.length(c) == 1) & ~F.contains(F.lit(EXPANDING), c), alone).otherwise(compose(c))
+    return F.transform(F.regexp_extract_all(text, F.lit(CLUSTER), F.lit(0)), lambda c: F.struct(F.length(c).alias("n"), form(c).alias("s")))
 
 
 def _offsets(pieces: Column) -> Column:

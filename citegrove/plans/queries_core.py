@@ -69,7 +69,9 @@ def collapse_spaces(spark, sf):
         "doc_id", F.md5(tx.collapse_spaces(F.col("text"))).alias("one_line"), F.length("text").cast("bigint").alias("n"))
 
 
-_INJECT = "replace(replace(replace(text, ' l', ' ​l'), '. ', '. —“ '), ', e', ', ’é')"
+# invisible signs, and text in other forms: reordered marks, Cyrillic, Hangul in parts, signs with a canonical twin
+_FORMS = "и\u0306 e\u0302\u0323 \u1112\u1161\u11ab \u212b\u2126"
+_INJECT = "replace(replace(replace(replace(text, ' l', ' \u200bl'), '. ', '. \u2014\u201c '), ', e', ', \u2019e\u0301'), ', a', ', " + _FORMS + " a')"
 
 
 @query("prepare_text", f"""
@@ -77,7 +79,7 @@ WITH src AS (SELECT doc_id, {_INJECT} AS t FROM documents),
 out AS (SELECT doc_id, t, nfc_normalize(translate(replace(replace(t, '​', ''), '­', ''),
   '‐‑‒–—―−﹣－“”„‘’´', '---------""" + '"""' + """''''''')) AS p FROM src)
 SELECT doc_id, md5(p) AS prepared, CAST(length(p) AS BIGINT) AS n,
-  CASE WHEN contains(t, '​') OR contains(t, '́') OR contains(t, '­') THEN 1 ELSE 0 END AS mapped FROM out
+  CASE WHEN regexp_matches(t, '[\u200b\u00ad]|\\p{M}') THEN 1 ELSE 0 END AS mapped FROM out
 """.replace("''''''')) AS p", "''''''')) AS p"))
 def prepare_text(spark, sf):
     d = C.table(spark, sf, "documents").select("doc_id", F.expr(_INJECT).alias("t"))
