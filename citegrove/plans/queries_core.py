@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from citegrove.functions import classes, courts, dockets, laws, text as tx
 from citegrove.functions.spans import slice_text
 from citegrove.operators import extract as X, prepare, registry as R, resolve as S
-from citegrove.operators.normalize import repair_words
+from citegrove.operators.normalize import law_codes_by_ratio, repair_words
 from citegrove.plans import corpora as C
 from citegrove.plans.verify import index_tables, verify
 from citegrove.plans.tables import once
@@ -145,6 +145,20 @@ def law_alias_fuzzy(spark, sf):
     return d.select("k", laws.law_code_from_name(F.concat("nm", F.lit(". Assim")))["code"].alias("code"))
 
 
+# nothing, two neighbours exchanged, two or three letters damaged
+_NAME_WORN = ("CASE o_orderkey % 4 WHEN 0 THEN nm WHEN 1 THEN substr(nm, 1, 3) || substr(nm, 5, 1) || substr(nm, 4, 1) || substr(nm, 6) "
+              "WHEN 2 THEN substr(nm, 1, 4) || 'x' || substr(nm, 6, 8) || 'x' || substr(nm, 15) "
+              "ELSE substr(nm, 1, 1) || 'x' || substr(nm, 3, 2) || 'x' || substr(nm, 6, 8) || 'x' || substr(nm, 15) END")
+
+
+@query("law_codes_by_ratio", C.duck(
+    f"WITH a AS ({_NAMED}), b AS (SELECT *, length(replace(nm, 'rn', 'm')) AS n FROM a) SELECT o_orderkey AS k, CASE WHEN (n - CAST(o_orderkey % 4 AS DOUBLE)) / n >= 0.9 "
+    "OR o_orderkey % 4 = 0 THEN code END AS law_code FROM b"))
+def law_codes_by_ratio_query(spark, sf):
+    d = C.run_sql(spark, sf, f"WITH a AS ({_NAMED}) SELECT o_orderkey AS k, {_NAME_WORN} AS nm FROM a", "orders")
+    return law_codes_by_ratio(d, "nm").select("k", "law_code")
+
+
 _COURT_TEXT = C.pick("o_orderkey", C.quoted([C.COURT_NAMES[c] for c in C.COURT_ORDER]))
 _STATE_NAMES = [k for k in C.STATES]
 _RAPP_FORMS = C.pick("o_orderkey", C.quoted(["Min. ", "Ministra ", "Des. ", "Desembargador ", "", "ministro "]))
