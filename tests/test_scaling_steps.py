@@ -4,9 +4,10 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
+from citegrove.functions import numbers as N, text as T
 from citegrove.functions.grammar import by_beginning
 from citegrove.operators import patterns as P, prepare
-from citegrove.plans import corpora as C
+from citegrove.plans import corpora as C, queries_core, queries_variants, tables
 from citegrove.rules import CLASS_VOCABULARY
 
 
@@ -41,3 +42,33 @@ def test_words_that_begin_alike_share_a_branch():
     worn = [w.translate(str.maketrans("OSLI", "051L")) for w in CLASS_VOCABULARY] + [w.replace("M", "RN") for w in CLASS_VOCABULARY]
     tried = [*CLASS_VOCABULARY, *worn, *[w[:-1] for w in CLASS_VOCABULARY], *[w + "X" for w in CLASS_VOCABULARY], "", "0"]
     assert all(bool(re.fullmatch(plain, w)) == bool(re.fullmatch(shared, w)) for w in tried)
+
+
+def test_numbers_after_an_ordinal_or_a_stop_are_read_at_once(spark):
+    usual = ["REsp nº 1.741.784/PR, lido", "REsp N° 1.741.784", "REsp n. 1.741.784/PR", "Rec. Esp. 45 e"]
+    other = ["nº1.741", "nºl 123", "§ 1º, do CPP", "nº 12) nº", "x. 12, ab-O", "n. 9 9; n.l."]
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(usual + other)], "i int, t string")
+    zones = texts.select("i", F.explode(N.zones(F.col("t"))).alias("z")).select("i", N._plain_runs(F.col("z")).alias("plain"), N._runs(F.col("z")).alias("full")).collect()
+    assert all(r.plain is not None for r in zones if r.i < len(usual)) and {r.i for r in zones} >= set(range(len(usual)))
+    assert all(r.plain is None or r.plain == r.full for r in zones)
+
+
+def test_noise_is_read_as_by_its_rules(spark):
+    signs = ["5", "9", "0", "O", "l", "L", "a", "o", "v", "x", "é", "ª", "º", ".", "-", " ", "\n", "\t", "\x1c", "\x85", "\u00a0", "\u2003", "日", "٣", "/", "ß", "µ", "×"]
+    texts = [a + b + c + "5" for a in signs for b in signs for c in signs[:16]] + ["", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    shape = F.col("t")
+    for found, kind in T._SHAPE_OF:
+        shape = F.regexp_replace(shape, "(?U)" + found, kind)
+    by_rules = F.contains("t", F.lit("\n")) | shape.rlike("|".join(T.NOISE_SHAPES))
+    assert df.filter(~T.noise_flag(F.col("t")).eqNullSafe(by_rules)).count() == 0
+
+
+def test_norms_are_read_without_parsing_decisions(spark, tmp_path):
+    spark.sql("""SELECT id AS o_orderkey, id AS o_custkey, 'F' AS o_orderstatus, DATE'2020-01-01' AS o_orderdate, '1-URGENT' AS o_orderpriority
+              FROM range(1, 40)""").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("SELECT id AS p_partkey, 'p' AS p_name, 'b' AS p_brand FROM range(1, 40)").write.parquet(f"{tmp_path}/part.parquet")
+    kept = queries_variants.keep_only(spark, str(tmp_path)).count()
+    keys = queries_core.registry_norms(spark, str(tmp_path)).agg(F.sum("records")).first()[0]
+    assert kept == sum(1 + (j % 37 == 0) for j in range(1, 40) if j % 5) and 0 < keys <= kept
+    assert not [k for k in tables._once if k[1] == str(tmp_path) and k[2] == "decisions"]
