@@ -2,12 +2,13 @@
 import re
 import unicodedata
 
+import duckdb
 from pyspark.sql import functions as F
 
 from citegrove.functions import numbers as N, text as T
 from citegrove.functions.grammar import by_beginning
-from citegrove.operators import patterns as P, prepare
-from citegrove.plans import corpora as C, queries_core, queries_variants, tables
+from citegrove.operators import patterns as P, prepare, variants
+from citegrove.plans import corpora as C, queries_core, queries_eval, queries_variants, tables
 from citegrove.rules import CLASS_VOCABULARY
 
 
@@ -72,3 +73,44 @@ def test_norms_are_read_without_parsing_decisions(spark, tmp_path):
     keys = queries_core.registry_norms(spark, str(tmp_path)).agg(F.sum("records")).first()[0]
     assert kept == sum(1 + (j % 37 == 0) for j in range(1, 40) if j % 5) and 0 < keys <= kept
     assert not [k for k in tables._once if k[1] == str(tmp_path) and k[2] == "decisions"]
+
+
+def _odd_tables(spark, path):
+    keys = [*range(1, 400), 15, 15, 22, 22, 22, 1001, 1020, None, None]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey bigint").coalesce(1).write.parquet(f"{path}/orders.parquet")
+    spark.createDataFrame([(k,) for k in [*range(1, 200), 37, 37, 41, None]], "p_partkey bigint").coalesce(1).write.parquet(f"{path}/part.parquet")
+
+
+def test_truth_renders_the_filings_once(spark, tmp_path):
+    _odd_tables(spark, tmp_path)
+    rows = C.run_filings(spark, str(tmp_path), f"WITH {C.truth_sql(True)} SELECT * FROM truth", "orders", "part")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode(") == 1
+    db = duckdb.connect()
+    for name in ("orders", "part"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    columns = "doc_id, level, slot, kind, span_start, span_end, t, j, acr, uf, label, id"
+    known = db.execute(C.duck(f"WITH {C.truth_sql()} SELECT {columns} FROM truth")).fetchall()
+    assert sorted(map(str, known)) == sorted(str(tuple(r)) for r in rows.selectExpr(*columns.split(", ")).collect())
+
+
+def test_truth_is_what_gold_and_predictions_are_read_from(spark, tmp_path):
+    _odd_tables(spark, tmp_path)
+    truth = set(C.truth(spark, str(tmp_path)).inputFiles())
+    read = [C.gold(spark, str(tmp_path)), *queries_eval.both(spark, str(tmp_path))]
+    assert all(set(df.inputFiles()) == truth for df in read)
+
+
+def test_gold_without_ids_is_dealt_out(spark):
+    gold = spark.range(4000).selectExpr("concat('d', id) AS doc_id", "id AS span_start", "CASE WHEN id % 8 = 0 THEN 'real' ELSE 'inventada' END AS label",
+                                        "CASE WHEN id % 8 = 0 THEN id END AS id")
+    ids = spark.range(0, 4000, 16).selectExpr("id AS old_id", "CASE WHEN id % 32 = 0 THEN id + 1 END AS new_id").hint("merge")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")   # which would put small partitions together
+    try:
+        out = variants.remap_gold(gold, ids).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(out) == 4000 and sum(r.label == "real" for r in out) == 375 and sum(r.id is not None for r in out) == 375
+    assert {r.id for r in out if r.span_start == 32} == {33} and [r.label for r in out if r.span_start == 16] == ["inventada"]
+    free = [r.task for r in out if r.span_start % 8]
+    assert max(free.count(t) for t in set(free)) < 2 * len(free) / 4
