@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -43,29 +42,38 @@ def symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _slices(column: pa.Array):
-    """Row ranges and their texts: null as empty, line breaks as blanks."""
+    """Row ranges and their texts: null as empty, line breaks as blanks. Only the texts of one range are copied at a time."""
     _, offsets = text_buffers(column)
-    plain = pc.replace_substring(pc.fill_null(column.cast(pa.large_string()), ""), "\n", " ")
     for a, b in chunks(offsets, CHUNK_BYTES // 2):
-        yield a, plain.slice(a, b - a)
+        yield a, pc.replace_substring(pc.fill_null(column.slice(a, b - a).cast(pa.large_string()), ""), "\n", " ")
 
 
-def gram_counts(labelled: DataFrame) -> DataFrame:
-    """(lang, gram, n) of all texts; each task combines a batch before it sends counts."""
+def gram_counts(labelled: DataFrame, most_held: int = 1 << 20) -> DataFrame:
+    """(lang, gram, n) of all texts; each task combines the counts of its batches before it sends them, once it holds
+    most_held of them or has read everything."""
+    def combined(found: dict[str, list]):
+        for lang, parts in found.items():
+            keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            n = np.bincount(back, np.concatenate([c for _, c in parts])).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+
     def count(batches):
+        found: dict[str, list] = {}
+        held = 0
         for batch in batches:
-            found: dict[str, list] = {}
             langs = np.array(batch.column(0).to_pylist(), object)
             for a, texts in _slices(batch.column(1)):
                 key, row, _ = symbols(texts)
                 of = langs[a:a + len(texts)]
                 for lang in set(of.tolist()):
-                    found.setdefault(lang, []).append(np.unique(key[(of == lang)[row]], return_counts=True))
-            for lang, parts in found.items():
-                keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-                n = np.bincount(back, np.concatenate([c for _, c in parts])).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+                    part = np.unique(key[(of == lang)[row]], return_counts=True)
+                    found.setdefault(lang, []).append(part)
+                    held += len(part[0])
+                if held > most_held:
+                    yield from combined(found)
+                    found, held = {}, 0
+        yield from combined(found)
     counts = labelled.select("lang", "text").mapInArrow(count, "lang string, gram long, n long")
     return counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -238,14 +246,14 @@ def accepted_rows(models: Models, docs: DataFrame, text: str = "text") -> DataFr
     a letter go; if nothing was learned, all others stay."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
-    def decide(column: pd.Series) -> pd.Series:
+    def decide(column: pa.Array) -> pa.Array:
         m, out = shared.value, []
-        for _, texts in _slices(pa.array(column, pa.large_string(), from_pandas=True)):
+        for _, texts in _slices(column):
             h, size, letters = m.entropies(texts)
             best = [m.langs[i] for i in h.argmin(1)] if m.langs else [""] * len(texts)
             limits = [m.limits.get(x, (np.inf, 0)) for x in best]
             low = h.min(1) if m.langs else np.zeros(len(texts))
             out.append((letters > 0) & (low <= np.array([a + b * max(k, 1) ** -0.5 for (a, b), k in zip(limits, size.tolist(), strict=True)])))
-        return pd.Series(np.concatenate(out) if out else np.zeros(0, bool))
+        return pa.array(np.concatenate(out) if out else np.zeros(0, bool))
 
-    return docs.filter(F.pandas_udf(decide, "boolean")(F.col(text)))
+    return docs.filter(F.arrow_udf(decide, "boolean")(F.col(text)))

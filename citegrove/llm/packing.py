@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from citegrove.llm.common import chunks, text_buffers, words
 
 KNOWN_WORDS = 500_000
+ENCODED_AT_ONCE = 1 << 14
 _PLAIN = regex.compile(r"[\x21-\x7e\xa1-ɏ]+")
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -27,7 +29,7 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, models, pre_tokenizers
-        self.full = Tokenizer.from_file(path)
+        self.path = path
         model = json.load(open(path, encoding="utf-8"))["model"]
         suffix = model["end_of_word_suffix"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
@@ -41,8 +43,15 @@ class WordTokenizer:
         self.letters = {b: chr(b if b in plain else 256 + others.index(b)) for b in range(256)}
         self.forget()
 
+    @cached_property
+    def full(self):
+        """The whole tokenizer, as large as the merges alone: it is read once the first text or word needs it."""
+        from tokenizers import Tokenizer
+        return Tokenizer.from_file(self.path)
+
     def forget(self):
-        self.slots: dict[int, int] = {}
+        self.known = np.zeros(0, np.uint64)
+        self.slots = np.zeros(0, np.int32)
         self.ids = np.zeros(1 << 20, np.int32)
         self.begin = np.zeros(1 << 16, np.int64)
         self.length = np.zeros(1 << 16, np.int64)
@@ -61,7 +70,9 @@ class WordTokenizer:
                 counts[i] = len(found)
             else:
                 odd[i] = self.full.encode(word, add_special_tokens=False).ids
-        ids = np.asarray(self.merger.encode_batch_fast([" ".join(pieces)])[0].ids if pieces else [], np.int32)
+        ids = np.concatenate([np.zeros(0, np.int32), *[
+            np.asarray(self.merger.encode_batch_fast([" ".join(pieces[i:i + ENCODED_AT_ONCE])])[0].ids, np.int32)
+            for i in range(0, len(pieces), ENCODED_AT_ONCE)]])
         stop = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
         if len(stop) != len(pieces) + 1:
             raise ValueError("the vocabulary doesn't mark word ends")
@@ -71,9 +82,9 @@ class WordTokenizer:
         each = [odd[i] if i in odd else ids[stop[cut[i]]:stop[cut[i + 1]]] for i in range(len(texts))]
         return np.concatenate([np.asarray(x, np.int32) for x in each]), np.array([len(x) for x in each])
 
-    def learn(self, keys: list[int], texts: list[str]):
+    def learn(self, keys: np.ndarray, texts: list[str]):
         ids, lengths = self.encode_words(texts)
-        n, at = len(self.slots), self.used
+        n, at = len(self.known), self.used
         while len(self.ids) < at + len(ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while len(self.begin) < n + len(keys):
@@ -81,23 +92,28 @@ class WordTokenizer:
         self.ids[at:at + len(ids)] = ids
         self.begin[n:n + len(keys)] = at + np.cumsum(lengths) - lengths
         self.length[n:n + len(keys)] = lengths
-        self.slots.update(zip(keys, range(n, n + len(keys)), strict=True))
+        at = np.searchsorted(self.known, keys)
+        self.known = np.insert(self.known, at, keys)
+        self.slots = np.insert(self.slots, at, np.arange(n, n + len(keys), dtype=np.int32))
         self.used += len(ids)
 
     def encode_rows(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """The ids of every row."""
         rows = len(offsets) - 1
-        if len(self.slots) > KNOWN_WORDS:
+        if len(self.known) > KNOWN_WORDS:
             self.forget()
         start, end, h, row = words(data, offsets)
         distinct, first, place = np.unique(h, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        missing = [i for i, k in enumerate(keys) if k not in self.slots]
-        if missing:
+        at = np.searchsorted(self.known, distinct)
+        new = np.ones(len(distinct), bool)
+        inside = np.flatnonzero(at < len(self.known))
+        new[inside] = self.known[at[inside]] != distinct[inside]
+        missing = np.flatnonzero(new)
+        if len(missing):
             body, where = data.tobytes(), first[missing]
-            self.learn([keys[i] for i in missing],
+            self.learn(distinct[missing],
                        [body[s:e].decode("utf-8", "replace") for s, e in zip(start[where].tolist(), end[where].tolist(), strict=True)])
-        slot = np.fromiter(map(self.slots.__getitem__, keys), np.int64, len(keys))[place]
+        slot = self.slots[np.searchsorted(self.known, distinct)][place]
         length = self.length[slot]
         after = np.cumsum(length)
         ids = self.ids[np.repeat(self.begin[slot] - after + length, length) + np.arange(after[-1] if len(after) else 0)]

@@ -1,7 +1,7 @@
 import numpy as np
 import pyarrow as pa
 
-from citegrove.llm.language_id import HashArray, KneserNey, calibrate, fit, predictions, symbols
+from citegrove.llm.language_id import HashArray, KneserNey, calibrate, fit, gram_counts, predictions, symbols
 
 EN = "the quick brown fox jumps over the lazy dog and then it was all over for the day"
 DE = "der schnelle braune Fuchs springt über den faulen Hund und dann war es für heute vorbei"
@@ -54,3 +54,11 @@ def test_a_rare_language_is_calibrated_in_a_large_table(spark):
     assert set(models.limits) == {"de", "en"} and models.limits["de"] != models.limits["en"]
     alone = calibrate(fit(labelled(spark)), df.filter("lang = 'de'")).limits
     assert alone["de"] == models.limits["de"] and alone["en"] == alone["de"]
+
+
+def test_counts_are_the_same_however_many_a_task_holds(spark):
+    docs = labelled(spark).filter("lang IS NOT NULL").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    once, often = (sorted(map(tuple, gram_counts(docs, most_held=n).collect())) for n in (1 << 20, 1))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert once == often and len({x[:2] for x in once}) == len(once) > 100

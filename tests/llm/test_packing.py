@@ -1,10 +1,12 @@
+import tracemalloc
+
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from citegrove.llm.packing import binary_pieces, pack
+from citegrove.llm.packing import WordTokenizer, binary_pieces, pack
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [None, "", " ", "Hello world", "Hello world", "ÉCOLE l'été don't we'll 12 a1b2 <|endoftext|> x", "ΣΑΣ ΟΔΟΣ é  nb sp   İx 漢字 🙂!",
@@ -39,3 +41,18 @@ def test_empty_table_and_bad_length(spark):
 def test_short_sequences(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g h i j")], "doc_id long, text string")
     assert pack(docs, PATH, longest=4).select(F.sum("length"), F.max("length")).first() == (11, 4)
+
+
+def test_remembered_words_take_little_memory():
+    tokenizer = WordTokenizer(PATH)
+    words = [f"{a}{b}" for a in "abcdefghijklmnopqrst" for b in range(2_500)]
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    offsets = np.array([0, len(data)])
+    tokenizer.encode_rows(data[:5], np.array([0, 5]))
+    tracemalloc.start()
+    first = tokenizer.encode_rows(data, offsets)[0]
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 80 * len(words)
+    assert (tokenizer.encode_rows(data, offsets)[0] == first).all()
+    assert first.tolist() == Tokenizer.from_file(PATH).encode(" ".join(words), add_special_tokens=False).ids
