@@ -114,3 +114,14 @@ def test_gold_without_ids_is_dealt_out(spark):
     assert {r.id for r in out if r.span_start == 32} == {33} and [r.label for r in out if r.span_start == 16] == ["inventada"]
     free = [r.task for r in out if r.span_start % 8]
     assert max(free.count(t) for t in set(free)) < 2 * len(free) / 4
+
+
+def test_the_start_of_a_rapporteur_rule_drops_no_match(spark):
+    from citegrove.functions.spans import match_spans
+    from citegrove.operators import patterns as P
+    assert P.RAPPORTEUR.count(P.RAPPORTEUR_START) == 1
+    texts = ["julgado da relatoria do Min. Dias Toffoli", "SOB A RELATORIA DE Ayres Britto", "ſob relatoria de Ayres Britto", "(Rel. Min. Luiz Fux)", "( rel. Luiz Fux",
+             "correl. Luiz Fux", "relatado pelo Ministro Luiz Fux", "pelo relator de Luiz Fux", "nada aqui", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(
+        "text", match_spans(F.col("text"), P.RAPPORTEUR).alias("now"), match_spans(F.col("text"), P.RAPPORTEUR.replace(P.RAPPORTEUR_START, "")).alias("plain")).collect()
+    assert all(r.now == r.plain for r in rows) and sum(r.now is not None for r in rows) >= 6
