@@ -64,13 +64,22 @@ def mixing_plan(docs: DataFrame, target_entropy: float | None = None, max_repeat
     equal id, source and text go together, an empty table gives no rows, other columns are ignored.
 
     Running sums go over buckets of the permutations, not over a source, so that one large source spreads over many tasks."""
-    placed = placed_uses(docs, target_entropy, max_repeats, budget, seed, id_col, text, source, tokens)
-    block = F.when(F.col("weight") > 0, F.floor(F.least("at", F.greatest(F.col("wanted") - 1, F.lit(0))) / (F.col("weight") * block_tokens))).otherwise(0)
-    placed = placed.withColumn("block", block.cast("long"))
-    order = Window.partitionBy("block").orderBy(F.xxhash64(F.lit(seed), "r"), "id", "source_key", "text_hash", "epoch")
+    placed = in_blocks(placed_uses(docs, target_entropy, max_repeats, budget, seed, id_col, text, source, tokens), block_tokens)
+    order = Window.partitionBy("block").orderBy(*order_in_block(seed))
     return placed.select(F.col("id").alias(id_col), "text_hash", "source_key", "tokens", "uses", "epoch", "block", F.row_number().over(order).alias("slot"), "weight")
 
 
+def in_blocks(placed: DataFrame, block_tokens: int) -> DataFrame:
+    """Adds block: which part of `weight * block_tokens` tokens of its source a use falls in."""
+    block = F.when(F.col("weight") > 0, F.floor(F.least("at", F.greatest(F.col("wanted") - 1, F.lit(0))) / (F.col("weight") * block_tokens))).otherwise(0)
+    return placed.withColumn("block", block.cast("long"))
+
+
+def order_in_block(seed: int) -> list[Column]:
+    """The random order of the uses of a block."""
+    return [F.xxhash64(F.lit(seed), "r"), *map(F.col, ("id", "source_key", "text_hash", "epoch"))]
+
+
 def permuted(seed: int, epoch, buckets) -> tuple[Column, Column]:
     """Place of a row (id, text_hash, source_key) in the permutation of an epoch: its bucket, and a hash that orders the bucket."""
     r = F.xxhash64(F.lit(seed), "id", "text_hash", "source_key", epoch)
@@ -111,21 +120,27 @@ def placed_uses(docs: DataFrame, target_entropy: float | None, max_repeats: floa
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", target_entropy: float | None = None,
-          max_repeats: float | None = None, budget: int | None = None, seed: int = 0, tokens: Column | None = None) -> DataFrame:
-    """docs as often as the plan uses them, columns unchanged, whatever their names.
-
-    A source is read up to a place in the permutation of its last epoch. These places are one small table of the sources; a row
-    decides by it how often it stands, so that no text is moved. Nulls and repeated rows are as in mixing_plan."""
-    used = placed_uses(docs, target_entropy, max_repeats, budget, seed, id_col, text, source, tokens).filter("within")
-    place = F.struct("epoch", "bucket", "r", "id", "text_hash")
-    ends = stored(used.groupBy("source_key").agg(F.max(place).alias("end"), F.first("buckets").alias("buckets"), F.first("t").alias("t")), "mixing-ends")
+          max_repeats: float | None = None, budget: int | None = None, seed: int = 0, tokens: Column | None = None, block_tokens: int = 1 << 20) -> DataFrame:
+    """docs as often as the plan uses them and in its order, block by block and slot by slot; columns unchanged, whatever their names.
+
+    The plan is made of keys alone. What a row needs of it is one small table of the buckets: how far a bucket is read, and where
+    in it the blocks begin. By it a row decides how often it stands and in which blocks, so that texts move once, into their
+    order: each file that is written holds a run of it. Nulls and repeated rows are as in mixing_plan."""
+    place = F.struct("r", "id", "text_hash")
+    used = in_blocks(placed_uses(docs, target_entropy, max_repeats, budget, seed, id_col, text, source, tokens), block_tokens)
+    begins = used.groupBy("source_key", "epoch", "bucket", "block").agg(
+        F.min(place).alias("place"), F.max(F.when(F.col("within"), place)).alias("end"), F.first("buckets").alias("buckets"))
+    reads = stored(begins.groupBy("source_key", "epoch", "bucket").agg(
+        F.array_sort(F.collect_list(F.struct("place", "block"))).alias("begins"), F.max("end").alias("end"), F.first("buckets").alias("buckets")), "mixing-reads")
+    sources = stored(reads.groupBy("source_key").agg(F.max("epoch").alias("epochs"), F.first("buckets").alias("buckets")), "mixing-ends")
     every = "_" + uuid.uuid4().hex
     size = words_of(f"{every}.{text}") if tokens is None else F.col(f"{every}._tokens")
     row = docs if tokens is None else docs.withColumn("_tokens", tokens)
     rows = row.select(F.struct("*").alias(every), F.col(id_col).alias("id"), source_key(source).alias("source_key"),
                       F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"))
-    rows = rows.join(ends, "source_key").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("end.epoch"))))
+    rows = rows.join(sources, "source_key").withColumn("epoch", F.explode(F.sequence(F.lit(0), "epochs")))
     bucket, r = permuted(seed, F.col("epoch"), F.col("buckets"))
-    inside = F.struct("epoch", bucket.alias("bucket"), r.alias("r"), "id", "text_hash") <= F.col("end")
-    kept = rows.filter(inside | ((F.col("epoch") == 0) & (size == 0)))
-    return kept.select(*[F.col(f"{every}.`{c}`") for c in docs.columns])
+    rows = rows.withColumn("bucket", bucket).withColumn("r", r).drop("buckets").join(reads, ["source_key", "epoch", "bucket"])
+    kept = rows.filter((place <= F.col("end")) | ((F.col("epoch") == 0) & (size == 0)))
+    block = F.element_at(F.filter("begins", lambda b: b["place"] <= place), -1)["block"]
+    return kept.orderBy(block, *order_in_block(seed)).select(*[F.col(f"{every}.`{c}`") for c in docs.columns])

@@ -64,3 +64,12 @@ def test_mixed_rows_and_empty_table(spark):
     assert out.columns == docs.columns and out.count() == uses >= docs.count()
     none = docs.filter("false")
     assert mixing_plan(none, max_repeats=2.0).count() == 0 and mixed(none, target_entropy=1.0).count() == 0
+
+
+def test_mixed_rows_stand_in_the_order_of_the_plan(spark):
+    docs = documents(spark).repartition(3)
+    for settings in ({"max_repeats": 3.0, "block_tokens": 100, "seed": 1}, {"max_repeats": 3.0, "budget": 400, "block_tokens": 40}):
+        plan = mixing_plan(docs, **settings).orderBy("block", "slot").collect()
+        wanted = [(r.doc_id, r.source_key) for r in plan for _ in range(r.uses)]
+        got = [(r.doc_id, "null" if r.source is None else "=" + r.source) for r in mixed(docs, **settings).collect()]
+        assert got == wanted and len({r.block for r in plan}) > 3
