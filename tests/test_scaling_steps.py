@@ -125,3 +125,31 @@ def test_the_start_of_a_rapporteur_rule_drops_no_match(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "text string").select(
         "text", match_spans(F.col("text"), P.RAPPORTEUR).alias("now"), match_spans(F.col("text"), P.RAPPORTEUR.replace(P.RAPPORTEUR_START, "")).alias("plain")).collect()
     assert all(r.now == r.plain for r in rows) and sum(r.now is not None for r in rows) >= 6
+
+
+def test_numbers_among_other_words_are_read_at_once(spark):
+    """Words without a digit after a number, and an acronym with a hyphen before it, leave its zone a usual one."""
+    usual = ["REsp nº 988.338 - AL, cujos", "autos de RR nº TST-RR-0023522-04.20l0.5.03.0000. O recurso", "em 2014 sob a relatoria", "TST-AIRR-65-63.2010.5.01.0075 segue",
+             "REsp 12 - O S - x"]
+    other = ["TST-RR-12(nº", "o 5úmula", "§ 1º, do", "RR- 12 l 9", "nºRR-12 - a", "TST-RR-1.2349./º|", "ab-O-12 9 - ,", "TSTO-12 -"]
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(usual + other)], "i int, t string")
+    zones = texts.select("i", F.explode(N.zones(F.col("t"))).alias("z")).select("i", N._plain_runs(F.col("z")).alias("plain"), N._runs(F.col("z")).alias("full")).collect()
+    assert all(r.plain is not None for r in zones if r.i < len(usual)) and {r.i for r in zones} >= set(range(len(usual)))
+    assert all(r.plain is None or r.plain == r.full for r in zones)
+
+
+def test_a_class_run_is_looked_for_after_the_last_other_word(spark):
+    signs = ["REsp", "AgInt", "no", "(REsp", "nº", "Recurso", "Especial", "e,HC", "Rec.", "RE-AgR", "x;RE", "foo", "/", "TST-RR-", "NOAGRAVO", "\n", " ", "E1", "em,"]
+    texts = [(f"{a} {b}{gap}{c}{end}",) for a in signs for b in signs for c in signs for gap, end in ((" ", " "), ("\n", ""))] + [("",), (None,), (" " * 9,)]
+    folded = T.fold_same_length(F.col("t"))
+    df = spark.createDataFrame(texts, "t string").select(
+        F.regexp_replace(folded, P.BEFORE_RUN, "").alias("rest"), folded.alias("whole"))
+    run = lambda c: F.regexp_extract(F.col(c), P.KNOWN_RUN, 0)
+    assert df.filter(run("rest") != run("whole")).count() == 0 and df.filter(run("whole") != "").count() > 1000
+    assert df.filter("rest <> whole").count() > 1000
+
+
+def test_signs_are_looked_up_only_where_they_are_swapped(spark):
+    assert all(re.fullmatch(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: re.escape(chr(int(m[1], 16))), prepare._SWAPPED), c) for c in prepare._SWAP_FROM)
+    df = spark.createDataFrame([("a \u2013 b", "a - b"), ("a\x07b", "a b"), ("plain ç", "plain ç"), ("\ue000x", "\ue000x")], "text string, wanted string")
+    assert all(r.prepared == r.wanted for r in prepare.prepare_text(df).collect())
